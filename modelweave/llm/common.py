@@ -102,7 +102,7 @@ def pa_schema(ddl: str) -> pa.Schema:
     kinds = {
         "long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary(),
         "boolean": pa.bool_(), "float": pa.float32(), "array<long>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32()),
-        "array<float>": pa.list_(pa.float32()), "array<double>": pa.list_(pa.float64()), "array<string>": pa.list_(pa.string()),
+        "array<float>": pa.list_(pa.float32()), "array<boolean>": pa.list_(pa.bool_()), "array<double>": pa.list_(pa.float64()), "array<string>": pa.list_(pa.string()),
     }
     return pa.schema([(name, kinds[kind]) for name, kind in (x.split() for x in ddl.split(", "))])
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, minhash, packing, pieces, quality, repair, warc
+from . import langid, minhash, packing, pieces, quality, repair, substrings, warc
 from .common import table
 
 
@@ -31,6 +31,10 @@ def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("key")
 
@@ -40,7 +44,7 @@ def op10_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op2_langid, op3_sentencepiece, op5_packing, op7_minhash, op9_quality, op10_token_shards)}
+    return {f.__name__: f for f in (op1_warc, op2_langid, op3_sentencepiece, op5_packing, op7_minhash, op8_substring_dedup, op9_quality, op10_token_shards)}
 
 
 ORACLE: dict[str, str] = {
