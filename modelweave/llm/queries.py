@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, minhash, packing, pieces, quality, repair, substrings, warc
+from . import crosspolytope, langid, minhash, packing, pieces, quality, repair, substrings, warc
 from .common import table
 
 
@@ -27,6 +27,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crosspolytope.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -44,7 +48,7 @@ def op10_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op2_langid, op3_sentencepiece, op5_packing, op7_minhash, op8_substring_dedup, op9_quality, op10_token_shards)}
+    return {f.__name__: f for f in (op1_warc, op2_langid, op3_sentencepiece, op5_packing, op6_embedding_dedup, op7_minhash, op8_substring_dedup, op9_quality, op10_token_shards)}
 
 
 ORACLE: dict[str, str] = {
