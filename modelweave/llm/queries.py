@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import crosspolytope, langid, minhash, packing, pieces, quality, repair, substrings, warc
+from . import crosspolytope, langid, minhash, nndescent, packing, pieces, quality, repair, substrings, warc
 from .common import table
 
 
@@ -23,6 +23,10 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.round_trip_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op4_nndescent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nndescent.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -48,7 +52,7 @@ def op10_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op2_langid, op3_sentencepiece, op5_packing, op6_embedding_dedup, op7_minhash, op8_substring_dedup, op9_quality, op10_token_shards)}
+    return {f.__name__: f for f in (op1_warc, op2_langid, op3_sentencepiece, op4_nndescent, op5_packing, op6_embedding_dedup, op7_minhash, op8_substring_dedup, op9_quality, op10_token_shards)}
 
 
 ORACLE: dict[str, str] = {
