@@ -273,3 +273,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     out = own.select("doc_id", "n", "digest").join(named, F.col("digest") == F.col("d"), "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("c", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+def one_of_each(docs: DataFrame, percent: int = 80) -> DataFrame:
+    """The documents, with all their columns, without those that are near-duplicates of one with a smaller id."""
+    copies = common.durable(near_duplicates(docs, percent).where("NOT kept").select(F.col("doc_id").alias("__id")).distinct(), "copies")
+    return common.join_checked(docs, copies, docs["doc_id"] == copies["__id"], "left_anti", copies.count())

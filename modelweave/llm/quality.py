@@ -147,3 +147,9 @@ def score(docs: DataFrame, labels: DataFrame, host: str = "source", path: str =
     final = _logit(F.col("evidence")) + _logit(F.col("path_posterior")) - _logit(F.lit(mean))
     out = out.withColumn("quality", 1 / (1 + F.exp(-final)))
     return out.select("key", "doc_id", "evidence", "host_posterior", "path_posterior", "quality", (F.col("quality") >= threshold).alias("kept"))
+
+
+def good(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", threshold: float = THRESHOLD) -> DataFrame:
+    """The documents, with all their columns, whose quality is at least ``threshold``."""
+    bad = common.durable(score(docs, labels, host, path, threshold).where("NOT kept").select(F.col("key").alias("__key")).distinct(), "rejected")
+    return common.join_checked(docs, bad, F.xxhash64(docs["doc_id"], docs["text"]) == bad["__key"], "left_anti", bad.count())

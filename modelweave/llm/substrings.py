@@ -40,10 +40,9 @@ from . import common
 
 SIZE = 400
 TRIGGER_BYTES = 8
-#: Mean length of a phrase.
-PHRASE = 48
+#: Mean phrases in a string of the length sought.
+PHRASES = 8
 _U = np.uint64
-_LIMIT = _U((1 << 64) // PHRASE)
 _MUL = _U(0x9E3779B97F4A7C15)
 _BASE = 0xD6E8FEB86659FD93
 _VALUES = np.random.default_rng(7).integers(0, 1 << 63, 256, dtype=np.uint64) * _U(2) + _U(1)
@@ -79,20 +78,20 @@ def prints(low: np.ndarray, high: np.ndarray, start: np.ndarray, length) -> np.n
     return _mix((high - low) * inverse[start] + np.asarray(length).astype(np.uint64) * _MUL)
 
 
-def phrase_ends(raw: bytes) -> np.ndarray:
-    """Places right after the bytes that trigger."""
+def phrase_ends(raw: bytes, size: int) -> np.ndarray:
+    """Places right after the bytes that trigger, one in ``size / PHRASES`` on average."""
     if len(raw) < TRIGGER_BYTES:
         return np.zeros(0, np.int64)
     words = np.ndarray(len(raw) - TRIGGER_BYTES + 1, "<u8", raw, strides=(1,))
     mixed = words * _MUL
     mixed ^= mixed >> _U(29)
     mixed *= _U(_BASE)
-    return np.flatnonzero(mixed < _LIMIT) + TRIGGER_BYTES
+    return np.flatnonzero(mixed < _U((1 << 64) * PHRASES // size)) + TRIGGER_BYTES
 
 
-def parse(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+def parse(raw: bytes, size: int) -> tuple[np.ndarray, np.ndarray]:
     """(bounds of the phrases from 0 to the length, prefix sums there)."""
-    bounds = np.unique(np.concatenate(([0], phrase_ends(raw), [len(raw)])))
+    bounds = np.unique(np.concatenate(([0], phrase_ends(raw, size), [len(raw)])))
     return bounds.astype(np.int32), prefix_sums(np.frombuffer(raw, np.uint8))[bounds]
 
 
@@ -155,10 +154,10 @@ def parses(texts: DataFrame, size: int) -> DataFrame:
         bounds, sums, opens = [], [], []
         for text in batch["text"].to_pylist():
             raw = text.encode()
-            b, s = parse(raw)
+            b, s = parse(raw, size)
             bounds.append(b)
             sums.append(s.view(np.int64))
-            ends = phrase_ends(raw[-TRIGGER_BYTES:])
+            ends = phrase_ends(raw[-TRIGGER_BYTES:], size)
             opens.append(not len(ends))  # the text's end isn't triggered
         return pa.RecordBatch.from_arrays([batch["key"], batch["doc_id"], *(pa.array(v, f.type) for v, f in zip((bounds, sums, opens), list(out)[2:]))], schema=out)
 
@@ -167,9 +166,9 @@ def parses(texts: DataFrame, size: int) -> DataFrame:
     return own.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first(whole).alias("p")).select("key", "rep", "copies", "p.*")
 
 
-def repeats(docs: DataFrame, size: int = SIZE) -> DataFrame:
-    """key (hash of the text) and spans (starts and stops of the maximal repeated runs) of texts that have any, and
-    that no other document has; texts of several documents have ``whole`` set instead."""
+def repeats(docs: DataFrame, size: int = SIZE, with_text: bool = False) -> DataFrame:
+    """key (hash of the text), start and stop of the maximal repeated runs, sha (of the rest) and, with ``with_text``,
+    the rest itself, for texts that have any; texts of several documents have ``whole`` set instead."""
     texts = docs.select(F.xxhash64("text").alias("key"), "doc_id", "text")
     parsed = common.durable(parses(texts, size), "parse")
 
@@ -248,10 +247,10 @@ def repeats(docs: DataFrame, size: int = SIZE) -> DataFrame:
     again = read.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
     hits = common.durable(read.where("NOT sure").join(again, "h").groupBy("key").agg(F.collect_list("x").alias("hits")), "hits")
 
-    schema = "key long, start array<int>, stop array<int>, kept binary"
+    schema = "key long, start array<int>, stop array<int>, sha string" + ", rest string" * with_text
 
     def runs(batch: pa.RecordBatch, out: pa.Schema) -> pa.RecordBatch:
-        starts, stops, kept = [], [], []
+        starts, stops, shas, rests = [], [], [], []
         for k, text in enumerate(batch["text"].to_pylist()):
             raw = text.encode()
             x0, x1, sure = (_numpy(batch[c], k) for c in ("x0", "x1", "sure"))
@@ -259,36 +258,40 @@ def repeats(docs: DataFrame, size: int = SIZE) -> DataFrame:
             spans = covered(len(raw), np.concatenate([x0[sure], hit]), np.concatenate([x1[sure] - 1 + size, hit + size]))
             starts.append([a for a, _ in spans])
             stops.append([b for _, b in spans])
-            kept.append(b"".join(raw[a:b] for a, b in zip([0, *stops[-1]], [*starts[-1], len(raw)])))
-        ints = pa.list_(pa.int32())
-        return pa.RecordBatch.from_arrays([batch["key"], pa.array(starts, ints), pa.array(stops, ints), pa.array(kept, pa.binary())], schema=out)
+            kept = b"".join(raw[a:b] for a, b in zip([0, *stops[-1]], [*starts[-1], len(raw)]))
+            shas.append(hashlib.sha256(kept).hexdigest())
+            rests.append(kept.decode("utf-8", "ignore"))
+        return pa.RecordBatch.from_arrays([batch["key"], *(pa.array(v, f.type) for v, f in zip((starts, stops, shas, rests), list(out)[1:]))], schema=out)
 
     single = some.where("copies = 1").join(hits, "key", "left").select("key", "text", "x0", "x1", "sure", "hits").mapInArrow(_rows(runs, common.pa_schema(schema)), schema)
-    whole = parsed.where("copies > 1").select("key", F.lit(True).alias("whole"), *(F.lit(None).cast(t).alias(c) for c, t in (("start", "array<int>"), ("stop", "array<int>"), ("kept", "binary"))))
-    return single.where(F.size("start") > 0).select("key", F.lit(False).alias("whole"), "start", "stop", "kept").union(whole)
-
-
-def remove_repeats(docs: DataFrame, size: int = SIZE, with_text: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, with ``with_text``, all columns of ``docs`` and the
-    remaining bytes as ``kept`` (binary; null where nothing was removed)."""
-    own = docs.withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("text", F.coalesce("text", F.lit("")))
-    found = common.durable(repeats(own.select("doc_id", "text"), size), "repeats")
-    narrow = found.select(
-        F.col("key").alias("k_"), "whole", F.size("start").alias("spans_"),
-        F.aggregate(F.zip_with("start", "stop", lambda a, b: b - a), F.lit(0).cast("long"), lambda x, y: x + y).alias("removed_"),
-        F.sha2("kept", 256).alias("sha_"), *(["kept"] if with_text else []),
+    columns = [("start", "array<int>"), ("stop", "array<int>"), ("sha", "string"), *([("rest", "string")] if with_text else [])]
+    whole = parsed.where("copies > 1").select("key", F.lit(True).alias("whole"), *(F.lit(None).cast(t).alias(c) for c, t in columns))
+    return single.where(F.size("start") > 0).select("key", F.lit(False).alias("whole"), *(c for c, _ in columns)).union(whole)
+
+
+def remove_repeats(docs: DataFrame, size: int = SIZE) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    found = common.durable(repeats(own, size), "repeats")
+    removed = F.aggregate(F.zip_with("start", "stop", lambda a, b: b - a), F.lit(0).cast("long"), lambda x, y: x + y)
+    narrow = found.select(F.col("key").alias("k"), "whole", F.size("start").alias("spans"), removed.alias("removed"), "sha")
+    rows = own.select("doc_id", F.xxhash64("text").alias("key"), F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("all"))
+    joined = rows.join(narrow, F.col("key") == F.col("k"), "left")
+    return joined.select(
+        "doc_id", "n_bytes",
+        F.when(F.col("whole"), F.col("n_bytes")).otherwise(F.coalesce("removed", F.lit(0))).cast("long").alias("n_removed"),
+        F.when(F.col("whole"), F.lit(1)).otherwise(F.coalesce("spans", F.lit(0))).cast("long").alias("n_spans"),
+        F.when(F.col("whole"), F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.coalesce("sha", "all")).alias("kept_sha256"),
     )
-    columns = [*docs.columns, "text"] if with_text else ["doc_id"]
-    rows = own.select(*dict.fromkeys(columns if not with_text else docs.columns), F.xxhash64("text").alias("key_"), F.octet_length("text").cast("long").alias("bytes_"), F.sha2("text", 256).alias("all_"))
-    joined = rows.join(narrow, F.col("key_") == F.col("k_"), "left")
-    whole, hit = F.coalesce("whole", F.lit(False)), F.col("k_").isNotNull()
-    out = {
-        "n_bytes": F.col("bytes_"),
-        "n_removed": F.when(whole, F.col("bytes_")).when(hit, F.col("removed_")).otherwise(F.lit(0)).cast("long"),
-        "n_spans": F.when(whole, F.lit(1)).when(hit, F.col("spans_")).otherwise(F.lit(0)).cast("long"),
-        "kept_sha256": F.when(whole, F.lit(hashlib.sha256(b"").hexdigest())).when(hit, F.col("sha_")).otherwise(F.col("all_")),
-    }
-    if with_text:
-        kept = F.when(whole, F.lit(b"")).when(hit, F.col("kept")).alias("kept")
-        return joined.select(*(c for c in docs.columns if c.lower() not in {*out, "kept"}), *(v.alias(k) for k, v in out.items()), kept)
-    return joined.select("doc_id", *(v.alias(k) for k, v in out.items()))
+
+
+def cleaned(docs: DataFrame, size: int = SIZE) -> DataFrame:
+    """``docs`` with the repeated strings removed from ``text`` (parts of cut characters go, too) and ``n_chars``, if
+    there is one, counted anew; documents of which nothing is left are dropped."""
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    found = common.durable(repeats(own, size, with_text=True), "repeats").select(F.col("key").alias("__key"), F.when(F.col("whole"), F.lit("")).otherwise(F.col("rest")).alias("__rest"))
+    joined = docs.join(found, F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("__key"), "left")
+    hit = F.col("__key").isNotNull()
+    text = F.when(hit, F.col("__rest")).otherwise(F.col("text"))
+    new = {"text": text, "n_chars": F.when(hit, F.length("__rest").cast("long")).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None}
+    return joined.where(~hit | (F.length("__rest") > 0)).select(*(new[c].alias(c) if new.get(c) is not None else F.col(f"`{c}`") for c in docs.columns))
