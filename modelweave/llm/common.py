@@ -60,6 +60,7 @@ def durable(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_path(spark, tag)
     df.write.parquet(path)
+    spark.sparkContext._jvm.System.gc()  # lets Spark's cleaner drop the shuffle files of finished steps
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -126,6 +126,16 @@ def window_groups(bounds: np.ndarray, sums: np.ndarray, is_end: np.ndarray, repe
     return x0, x1, bounds[o0], prints(sums[o0], sums[o1], bounds[o0], bounds[o1] - bounds[o0]), within
 
 
+def read_windows(raw: bytes, x0: np.ndarray, x1: np.ndarray, sure: np.ndarray, read: np.ndarray, size: int) -> tuple[np.ndarray, ...]:
+    """(start, fingerprint, sure) of each window of the groups to read."""
+    x0, n, sure = x0[read], (x1 - x0)[read], sure[read]
+    x = np.repeat(x0 - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+    if not len(x):
+        return x, np.zeros(0, np.uint64), np.zeros(0, bool)
+    sums = prefix_sums(np.frombuffer(raw, np.uint8))
+    return x, prints(sums[x], sums[x + size], x, np.full(len(x), size)), np.repeat(sure, n)
+
+
 def covered(n: int, starts: np.ndarray, stops: np.ndarray) -> list[tuple[int, int]]:
     """Maximal runs of the bytes that intervals [start, stop) cover."""
     change = np.bincount(starts, minlength=n + 1) - np.bincount(stops, minlength=n + 1)
@@ -222,29 +232,21 @@ def repeats(docs: DataFrame, size: int = SIZE, with_text: bool = False) -> DataF
     some = common.durable(some, "texts")
 
     # 3. windows
-    schema = "key long, x array<int>, h array<long>, sure array<boolean>"
+    schema = "key long, x array<int>, h array<long>, sure array<boolean>, n array<int>"
 
     def windows(batch: pa.RecordBatch, out: pa.Schema) -> pa.RecordBatch:
-        xs, hs, sures = [], [], []
+        columns: list[list] = [[] for _ in range(4)]
         for k, text in enumerate(batch["text"].to_pylist()):
-            x0, x1, sure, read = (_numpy(batch[c], k) for c in ("x0", "x1", "sure", "read"))
-            x0, x1, sure = x0[read], x1[read], sure[read]
-            n = x1 - x0
-            x = np.repeat(x0 - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-            if len(x):
-                sums = prefix_sums(np.frombuffer(text.encode(), np.uint8))
-                h = prints(sums[x], sums[x + size], x, np.full(len(x), size))
-            else:
-                h = np.zeros(0, np.uint64)
-            xs.append(x.astype(np.int32))
-            hs.append(h.view(np.int64))
-            sures.append(np.repeat(sure, n))
-        columns = [batch["key"], pa.array(xs, pa.list_(pa.int32())), pa.array(hs, pa.list_(pa.int64())), pa.array(sures, pa.list_(pa.bool_()))]
-        return pa.RecordBatch.from_arrays(columns, schema=out)
+            x, h, sure = read_windows(text.encode(), *(_numpy(batch[c], k) for c in ("x0", "x1", "sure", "read")), size)
+            h, first, n = np.unique(h, return_index=True, return_counts=True)
+            # what repeats within the text is found there; here it only stands for others
+            for c, v in zip(columns, (x[first].astype(np.int32), h.view(np.int64), sure[first] | (n > 1), np.minimum(n, 2).astype(np.int32))):
+                c.append(v)
+        return pa.RecordBatch.from_arrays([batch["key"], *(pa.array(c, f.type) for c, f in zip(columns, list(out)[1:]))], schema=out)
 
     read = some.where(F.exists("read", lambda r: r)).select("key", "text", "x0", "x1", "sure", "read").mapInArrow(_rows(windows, common.pa_schema(schema), 64), schema)
-    read = read.select("key", F.explode(F.arrays_zip("x", "h", "sure")).alias("w")).select("key", "w.*")
-    again = read.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
+    read = read.select("key", F.explode(F.arrays_zip("x", "h", "sure", "n")).alias("w")).select("key", "w.*")
+    again = read.groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h")
     hits = common.durable(read.where("NOT sure").join(again, "h").groupBy("key").agg(F.collect_list("x").alias("hits")), "hits")
 
     schema = "key long, start array<int>, stop array<int>, sha string" + ", rest string" * with_text
@@ -253,9 +255,12 @@ def repeats(docs: DataFrame, size: int = SIZE, with_text: bool = False) -> DataF
         starts, stops, shas, rests = [], [], [], []
         for k, text in enumerate(batch["text"].to_pylist()):
             raw = text.encode()
-            x0, x1, sure = (_numpy(batch[c], k) for c in ("x0", "x1", "sure"))
+            x0, x1, sure, read = (_numpy(batch[c], k) for c in ("x0", "x1", "sure", "read"))
+            x, h, known = read_windows(raw, x0, x1, sure, read, size)
+            _, which, n = np.unique(h, return_inverse=True, return_counts=True)
+            twice = x[(n[which] > 1) & ~known] if len(x) else x
             hit = _numpy(batch["hits"], k) if batch["hits"][k].is_valid else np.zeros(0, np.int32)
-            spans = covered(len(raw), np.concatenate([x0[sure], hit]), np.concatenate([x1[sure] - 1 + size, hit + size]))
+            spans = covered(len(raw), np.concatenate([x0[sure], hit, twice]), np.concatenate([x1[sure] - 1 + size, hit + size, twice + size]))
             starts.append([a for a, _ in spans])
             stops.append([b for _, b in spans])
             kept = b"".join(raw[a:b] for a, b in zip([0, *stops[-1]], [*starts[-1], len(raw)]))
@@ -263,7 +268,7 @@ def repeats(docs: DataFrame, size: int = SIZE, with_text: bool = False) -> DataF
             rests.append(kept.decode("utf-8", "ignore"))
         return pa.RecordBatch.from_arrays([batch["key"], *(pa.array(v, f.type) for v, f in zip((starts, stops, shas, rests), list(out)[1:]))], schema=out)
 
-    single = some.where("copies = 1").join(hits, "key", "left").select("key", "text", "x0", "x1", "sure", "hits").mapInArrow(_rows(runs, common.pa_schema(schema)), schema)
+    single = some.where("copies = 1").join(hits, "key", "left").select("key", "text", "x0", "x1", "sure", "read", "hits").mapInArrow(_rows(runs, common.pa_schema(schema)), schema)
     columns = [("start", "array<int>"), ("stop", "array<int>"), ("sha", "string"), *([("rest", "string")] if with_text else [])]
     whole = parsed.where("copies > 1").select("key", F.lit(True).alias("whole"), *(F.lit(None).cast(t).alias(c) for c, t in columns))
     return single.where(F.size("start") > 0).select("key", F.lit(False).alias("whole"), *(c for c, _ in columns)).union(whole)
