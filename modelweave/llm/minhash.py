@@ -73,8 +73,9 @@ def shingles(text: str | None, size: int = WORDS) -> np.ndarray:
         return np.zeros(0, np.uint64)
     if len(known) > 400_000:
         known.clear()
-    for w in set(words) - known.keys():
-        known[w] = xxhash.xxh3_64_intdigest(w)
+    for w in words:
+        if w not in known:
+            known[w] = xxhash.xxh3_64_intdigest(w)
     h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
     n = max(1, len(h) - size + 1)
     joint = np.zeros(n, np.uint64)
@@ -97,7 +98,9 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
         starts = np.cumsum([0, *map(len, sets[at : stop - 1])])
         bins = first[(flat & np.uint64(BINS - 1)).astype(np.int64)]
         if rows <= 20_000:
-            out[at:stop] = np.minimum.reduceat(windows[bins], starts, axis=0)
+            wide = windows[bins]
+            for k, (a, b) in enumerate(zip(starts, [*starts[1:], rows]), at):
+                out[k] = wide[a:b].min(0)
         else:  # one large set
             out[at] = np.min([windows[bins[k : k + 20_000]].min(0) for k in range(0, rows, 20_000)], axis=0)
         at = stop
