@@ -37,6 +37,8 @@ from .tokens import BLANK_WORDS, ChunkEncoder
 
 END_ID = 0
 SHARD_IDS = 2_000_000
+#: Most tasks that read files.
+READ_TASKS = 20_000
 MAGIC = b"MWRP0001"
 #: Rounds and rules of a shard; a pair that is rarer than LEAST is left alone.
 ROUNDS, RULES_A_ROUND, LEAST = 4, 3_500, 24
@@ -198,7 +200,8 @@ def write_token_shards(docs: DataFrame, tokenizer: str, folder: str, partitions:
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     order = ["doc_id", "text"]
-    ranged = rows.repartitionByRange(partitions, *order) if partitions else rows.repartitionByRange(*order)
+    # only ids are sampled for the ranges, so texts don't reach the driver
+    ranged = rows.repartitionByRange(partitions, "doc_id") if partitions else rows.repartitionByRange("doc_id")
     return common.durable(ranged.sortWithinPartitions(*order).mapInArrow(write, schema), "manifest")
 
 
@@ -223,7 +226,8 @@ def read_token_shards(manifest: DataFrame) -> DataFrame:
                 crc = [zlib.crc32(x.astype("<u4").tobytes()) for x in shard.all_ids()]
                 yield pa.RecordBatch.from_arrays([pa.array(shard.doc_ids, pa.int64()), pa.array(starts), pa.array(sizes), pa.array(crc, pa.int64())], schema=out)
 
-    return files.repartition(F.col("path")).mapInArrow(read, schema)
+    # a fixed number of tasks, as rows of the manifest are too few for Spark to keep tasks apart by their size
+    return files.repartition(max(1, min(manifest.count(), READ_TASKS)), "path").mapInArrow(read, schema)
 
 
 def token_shards(docs: DataFrame, tokenizer: str) -> DataFrame:

@@ -25,19 +25,21 @@ class ChunkEncoder:
     """Encodes texts to little-endian unsigned 32-bit ids.
 
     ``literal_specials``: strings of special tokens within a text are ordinary text.
-    ``cache``: most distinct chunks remembered (about 200 bytes each); then it starts anew.
+    ``cache``: most distinct chunks remembered (about 200 bytes each).  When they are too many, those
+    used since the last time are kept for as long again.
     Chunks of over 64 characters are not remembered.
     """
 
     _own: dict[tuple, ChunkEncoder] = {}
 
-    def __init__(self, path: str, pattern: str, literal_specials: bool = True, cache: int = 600_000):
+    def __init__(self, path: str, pattern: str, literal_specials: bool = True, cache: int = 1_000_000):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = literal_specials
         self.words_only = pattern == WORDS
         self.find = re.compile(pattern).findall
         self.known: dict[str, bytes] = {}
-        self.most = cache
+        self.before: dict[str, bytes] = {}
+        self.most = cache // 2
         # ids after which a word ends, or at which a chunk with a leading blank begins
         vocabulary = self.tokenizer.get_vocab()
         self.marks = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -100,10 +102,12 @@ class ChunkEncoder:
         """Null is an empty text."""
         known = self.known
         if len(known) > self.most:
-            known.clear()
+            self.before, self.known = known, (known := {})
         split = [self.chunks(t) if t else [] for t in texts]
         new = {c for chunks in split for c in chunks if c not in known}
-        self._learn(list(new))
+        old = self.before
+        known.update({c: old[c] for c in new if c in old})
+        self._learn([c for c in new if c not in old])
         get = known.__getitem__
         out = [b"".join(map(get, chunks)) for chunks in split]
         for chunk in new:
