@@ -7,6 +7,7 @@ import math
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyarrow import fs as pafs
@@ -112,7 +113,16 @@ def parts_for(rows: int, per_part: int) -> int:
     return max(1, math.ceil(rows / per_part))
 
 
+def _importable(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver has it, if it isn't installed."""
+    root = str(Path(__file__).resolve().parents[2])
+    own = spark.sparkContext.environment
+    if root not in own.get("PYTHONPATH", "").split(":"):
+        own["PYTHONPATH"] = ":".join(filter(None, (root, own.get("PYTHONPATH"))))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    _importable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
