@@ -25,7 +25,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from . import common
@@ -118,11 +118,26 @@ def _strength(groups: DataFrame, mean: str) -> float:
     return float(np.clip(1 / share - 1 if share > 0 else MOST_STRENGTH, LEAST_STRENGTH, MOST_STRENGTH))
 
 
+def _lowest(rows: DataFrame, most: int) -> list[Row]:
+    """The ``most`` rows with the lowest hashes (column h, ties by y and f).
+
+    Rows whose hash is too high for that stay on the executors: else each task would send ``most`` rows to the driver.
+    """
+    n = rows.count()
+    share = 1.5 * most / max(1, n)
+    while True:
+        low = rows if share >= 1 else rows.where(F.col("h") <= int(share * 2**64) - 2**63)
+        found = low.orderBy("h", "y", "f").limit(most).collect()
+        if len(found) >= min(most, n) or share >= 1:
+            return found
+        share *= 4
+
+
 def score(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", threshold: float = THRESHOLD, fit_rows: int = FIT_ROWS) -> DataFrame:
     """key, doc_id, evidence, host_posterior, path_posterior, quality, kept (quality >= threshold)."""
     rows = common.durable(describe(docs, host, path), "features")
     labelled = labels.where(F.col("quality").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.avg("quality").alias("y"))
-    chosen = rows.join(labelled, "doc_id").select("f", "y", F.xxhash64("doc_id").alias("h")).orderBy("h", "y", "f").limit(fit_rows).collect()
+    chosen = _lowest(rows.join(labelled, "doc_id").select("f", "y", F.xxhash64("doc_id").alias("h")), fit_rows)
     bias, weights = fit_logistic(np.array([r["f"] for r in chosen]), np.array([r["y"] for r in chosen]))
     z = F.lit(bias)
     for k, w in enumerate(weights.tolist()):

@@ -271,6 +271,14 @@ def test_sparse_sites_shrink(spark):
     assert quality._strength(groups, "mean") < 10 and quality._strength(even, "mean") == quality.MOST_STRENGTH
 
 
+def test_lowest_hashes(spark):
+    rows = [(float(k % 2), [float(k)], (k % 5 - 2) * 2**60 + k) for k in range(200)] + [(1.0, [0.0], 2**62)] * 200
+    df = spark.createDataFrame(rows, "y double, f array<double>, h long").repartition(7)
+    for most in (1, 10, 150, 500):
+        assert [r.h for r in quality._lowest(df, most)] == sorted(h for _, _, h in rows)[:most]
+    assert quality._lowest(df.limit(0), 10) == []
+
+
 # near-duplicates
 
 
