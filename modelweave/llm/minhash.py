@@ -13,7 +13,7 @@ Groups of copies are never expanded into pairs.  Equal sets are one class.  Of e
 are compared to its smallest one, then, where they aren't yet in its component, to LEADERS members
 chosen by hash; what is still apart is compared in blocks of BLOCK x BLOCK sets, of which only the
 links that join components are returned.  So no pair of a bucket whose documents are in different
-components stays uncompared.
+components stays uncompared.  A class is known by 64 bits of its digest.
 
 Defined cases: fewer than five words are one shingle of all words; without words or text the set is
 empty and linked with nothing; null ids take no part (component null, kept); rows that repeat an
@@ -114,7 +114,7 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
 
 
 def describe(docs: DataFrame) -> DataFrame:
-    """doc_id, n (set size), digest of the set (null if empty), bands (bucket keys)."""
+    """doc_id, t (hash of the text), n (set size), digest of the set (null if empty), bands (bucket keys)."""
 
     def run(batch: pa.RecordBatch) -> dict:
         sets = [shingles(t) for t in batch["text"].to_pylist()]
@@ -123,19 +123,22 @@ def describe(docs: DataFrame) -> DataFrame:
         bands: list = [[] for _ in sets]
         for k, row in zip(full, keys):
             bands[k] = row
-        return {"doc_id": batch["doc_id"], "n": [len(s) for s in sets], "digest": [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], "bands": bands}
+        return {"doc_id": batch["doc_id"], "t": batch["t"], "n": [len(s) for s in sets], "digest": [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], "bands": bands}
 
-    return common.map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, n long, digest binary, bands array<long>")
+    return common.map_arrow(_texts(docs), run, "doc_id long, t long, n long, digest binary, bands array<long>")
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("t"), "text")
 
 
 def _sets(docs: DataFrame) -> DataFrame:
-    """doc_id, digest and shingles (as signed 64-bit)."""
+    """id and shingles (as signed 64-bit)."""
 
     def run(batch: pa.RecordBatch) -> dict:
-        sets = [shingles(t) for t in batch["text"].to_pylist()]
-        return {"id": batch["doc_id"], "digest": [xxhash.xxh3_128_digest(s.tobytes()) for s in sets], "s": [s.view(np.int64) for s in sets]}
+        return {"id": batch["id"], "s": [shingles(t).view(np.int64) for t in batch["text"].to_pylist()]}
 
-    return common.map_arrow(docs, run, "id long, digest binary, s array<long>")
+    return common.map_arrow(docs, run, "id long, s array<long>")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -148,18 +151,16 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def links(reps: DataFrame, docs: DataFrame, percent: int = 85) -> DataFrame:
-    """Links (a, b) between classes (rep, n, digest, bands) that give the components of all links."""
+    """Links (a, b) between classes (rep, first, n, bands) that give the components of all links."""
     rows = reps.select("rep", "n", F.explode("bands").alias("key"))
     spark = docs.sparkSession
     counted = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("rep").alias("lead")).where("size > 1")
     members = common.durable(rows.join(counted, "key").withColumnRenamed("rep", "id"), "buckets")
     wanted = members.select("id").distinct()
-    wanted = common.durable(wanted.join(reps.select(F.col("rep").alias("id"), "digest"), "id"), "wanted")
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
-    chosen = common.join_checked(texts, wanted.select("id"), "id", "left_semi", wanted.count())
-    # of rows that repeat an id, the one that stands for its class
-    sets = _sets(chosen.withColumnRenamed("id", "doc_id")).join(wanted.withColumnsRenamed({"id": "i", "digest": "d"}), F.expr("id = i AND digest = d"), "left_semi")
-    sets = common.durable(sets.select("id", "s").dropDuplicates(["id"]), "sets")
+    wanted = common.durable(wanted.join(reps.select(F.col("rep").alias("id"), F.col("first.doc_id").alias("d"), F.col("first.t").alias("h")), "id"), "wanted")
+    # of rows that repeat an id, those with the text that stands for its class
+    chosen = common.join_checked(_texts(docs), wanted, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("t") == F.col("h")), "inner", wanted.count())
+    sets = common.durable(_sets(chosen.select("id", "text")).dropDuplicates(["id"]), "sets")
 
     sizes = F.expr(f"100 * least(n, nb) >= {percent} * greatest(n, nb)")
     leads = reps.select(F.col("rep").alias("lead"), F.col("n").alias("nb"))
@@ -264,21 +265,43 @@ def block_links(rows: list[tuple[int, int, int, np.ndarray]], percent: int) -> l
     return found
 
 
+def _grouped(own: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """digest and, of the component of its class, the smallest (doc_id, t), null ids last; ``own``: rows of ``describe``."""
+    rows = own.where("digest IS NOT NULL").withColumn("first", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t"))
+    classes = rows.groupBy("digest").agg(F.min("first").alias("first"), F.min_by("bands", "first").alias("bands"), F.first("n").alias("n"))
+    classes = common.durable(classes.withColumn("rep", F.xxhash64("digest")), "classes")
+    known = common.durable(components(links(classes, docs, percent)), "components")
+    # the class of a component is any hash; what it is called is the smallest of its members'
+    low = known.join(classes.select(F.col("rep").alias("node"), "first"), "node").groupBy("component").agg(F.min("first").alias("low"))
+    low = common.durable(low, "low")
+    known = common.join_checked(known, low, "component", "inner", low.count()).select(F.col("node").alias("rep"), "low")
+    return classes.select("digest", "rep", "first").join(known, "rep", "left").select(F.col("digest").alias("d"), F.coalesce("low", "first").alias("low"))
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id, kept, one row per row of ``docs``."""
     own = common.durable(describe(docs), "signatures")
-    classes = own.where("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands"), F.first("n").alias("n"))
-    classes = common.durable(classes, "classes")
-    # an id that repeats with other texts may stand for several classes: these are one node
-    found = links(classes, docs, percent)
-    known = components(found).withColumnsRenamed({"node": "rep", "component": "found"})
-    named = classes.select("digest", "rep").join(known, "rep", "left").select(F.col("digest").alias("d"), F.coalesce("found", "rep").alias("c"))
+    named = _grouped(own.where("doc_id IS NOT NULL"), docs, percent).select("d", F.col("low.doc_id").alias("c"))
     out = own.select("doc_id", "n", "digest").join(named, F.col("digest") == F.col("d"), "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("c", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
 def one_of_each(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """The documents, with all their columns, without those that are near-duplicates of one with a smaller id."""
-    copies = common.durable(near_duplicates(docs, percent).where("NOT kept").select(F.col("doc_id").alias("__id")).distinct(), "copies")
-    return common.join_checked(docs, copies, docs["doc_id"] == copies["__id"], "left_anti", copies.count())
+    """The documents, with all their columns, of each group of near-duplicates exactly one row: that with the smallest
+    id, null last, and of rows that share it that with the smallest hash of its text.  Each row is judged by its own
+    text, also where ids repeat or are null.  Documents without words are in no group and stay."""
+    own = common.durable(describe(docs), "signatures")
+    named = _grouped(own, docs, percent)
+    rows = own.where("digest IS NOT NULL").groupBy("digest", "doc_id", "t").agg(F.count(F.lit(1)).alias("rows")).join(named, F.col("digest") == F.col("d"))
+    first = F.col("doc_id").eqNullSafe(F.col("low.doc_id")) & (F.col("t") == F.col("low.t"))
+    marked = common.durable(rows.select(F.col("doc_id").alias("__id"), F.col("t").alias("__t"), first.alias("__first"), "rows").where("NOT __first OR rows > 1").drop("rows"), "copies")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__t"))
+    single = common.join_checked(docs, marked, same, "left_anti", marked.count())
+    repeated = marked.where("__first")
+    if not (n := repeated.count()):
+        return single
+    # rows that are equal in id and text may differ in other columns
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    again = common.join_checked(docs, repeated, same, "inner", n).groupBy("__id", "__t").agg(F.min_by(whole, F.sha2(F.to_json(whole), 256)).alias("__row"))
+    return single.union(again.select("__row.*"))

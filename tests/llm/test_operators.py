@@ -330,6 +330,23 @@ def test_minhash_loose_group(spark, monkeypatch):
     assert _sorted(minhash.near_duplicates(df)) == _brute(own, 85)
 
 
+def test_one_row_of_each_group_is_left(spark):
+    """A repeated row, copies without ids and an id with two texts, after near-dedup and removal of repeats."""
+    rng = random.Random(12)
+    text = lambda k: " ".join(f"w{k}x{rng.randrange(10**6)}" for _ in range(60))
+    twice, nameless, first, other, mixed, plain = map(text, range(6))
+    near = first + " end"
+    own = [(7, twice, "a"), (7, twice, "b"), (7, twice, "a"), (None, nameless, "a"), (None, nameless, "a"), (None, nameless + " end", "a"), (1, first, "a"), (5, near, "a"), (5, other, "a"), (None, mixed, "a"), (9, mixed, "a"), (8, plain, "a"), (None, None, "a"), (10, "", "a"), (10, "", "a")]
+    df = spark.createDataFrame(own, "doc_id long, text string, kind string").repartition(3)
+    kept = common.durable(minhash.one_of_each(df, 80), "kept")
+    assert kept.columns == df.columns
+    after = Counter((r.doc_id, r.text) for r in substrings.cleaned(kept, 240).collect())
+    nameless_kept = [t for i, t in after if i is None and t]
+    assert len(nameless_kept) == 1 and nameless_kept[0] in (nameless, nameless + " end")
+    want = Counter([(7, twice), (None, nameless_kept[0]), (1, first), (5, other), (9, mixed), (8, plain), (None, None), (10, ""), (10, "")])
+    assert after == want
+
+
 def test_blocks_find_every_component():
     rng = random.Random(9)
     sets = [np.unique(np.array([rng.randrange(60) for _ in range(40)], np.int64)) for _ in range(60)]
