@@ -7,8 +7,10 @@ of these that meet there may become each other's neighbours (joins of neighbours
 A query starts at its own neighbours and walks the graph greedily: in each of STEPS rounds the EXPAND
 best vectors of its list of BEAM whose neighbours weren't looked at yet are expanded.
 
-Graph and search use whole-number components, scaled so that products are exact in any order; the
-final list is scored on the original vectors in double precision.
+Equal vectors are one class, known by the 64-bit hash of its components; graph and search see each
+class once, and every class found stands for the smallest of its ids.  Graph and search use whole-number
+components, scaled so that products are exact in any order; the final list is scored on the original
+vectors in double precision.
 
 Defined cases: vectors that are null, zero or hold null or non-finite components, of another length
 than most (the shortest, among equals), or with a null id take no part, neither as queries; rows that
@@ -17,7 +19,7 @@ gets all; ties go to the smaller id; an empty table gives no rows; extra columns
 
 Scale: a round shuffles K rows per vector, and per task of PART vectors each vector that it needs
 once; no task holds more than PART * 4 * SAMPLE vectors.  The divisions cut the space into blocks of
-about BLOCK vectors, and blocks that are larger, as with many copies, are worked through in pieces.  How
+about BLOCK vectors, and blocks that are larger are worked through in pieces.  How
 many vectors may have one vector as a neighbour isn't limited, but of those SAMPLE are gathered a
 round, before they are shuffled.  Rounds are written to the shared folder.
 """
@@ -39,7 +41,6 @@ FORESTS, BLOCK, FIRST = 16, 1024, 8
 ITERATIONS, STEPS, EXPAND, BEAM = 4, 3, 16, 96
 PART = 4096
 SEED = 404
-_NONE = np.iinfo(np.int32).min
 
 
 def _vectors(column) -> np.ndarray:
@@ -47,17 +48,23 @@ def _vectors(column) -> np.ndarray:
     return flat.to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
+def scaled(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Single-precision vectors and their factors."""
+    return v.astype(np.float32), np.ones(len(v))
+
+
 def _planes(forest: int, bits: int, dim: int) -> np.ndarray:
     return np.random.default_rng([SEED, forest, dim]).normal(size=(dim, 64))[:, :bits]
 
 
 def best_per(owner: np.ndarray, other: np.ndarray, score: np.ndarray, k: int, old: np.ndarray | None = None) -> np.ndarray:
     """Indices of the k best distinct others of each owner, in order; of repeated ones an old one stays."""
-    order = np.lexsort((np.zeros(len(owner)) if old is None else ~old, other, -score.astype(np.int64), owner))
+    order = np.lexsort((other, owner) if old is None else (~old, other, owner))
     o, p = owner[order], other[order]
     fresh = np.ones(len(order), bool)
-    fresh[1:] = (o[1:] != o[:-1]) | (p[1:] != p[:-1])  # equal pairs have equal scores and so are neighbours
+    fresh[1:] = (o[1:] != o[:-1]) | (p[1:] != p[:-1])
     order = order[fresh]
+    order = order[np.lexsort((-score[order], owner[order]))]  # stable: ties stay in the order of the others
     o = owner[order]
     begins = np.ones(len(o), bool)
     begins[1:] = o[1:] != o[:-1]
@@ -68,13 +75,13 @@ def best_per(owner: np.ndarray, other: np.ndarray, score: np.ndarray, k: int, ol
 def _first_graph(vectors: DataFrame, n: int, dim: int) -> DataFrame:
     """Candidates (p, q, s) of the blocks of random divisions."""
     bits = max(0, min(62, int(np.round(np.log2(max(1, n) / BLOCK)))))
-    schema = "p long, q long, s int"
+    schema = "p long, q long, s double"
     out = common.pa_schema(schema)
 
     def divide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = 1 << np.arange(bits, dtype=np.int64)
         for batch in common.slices(batches, 2048):
-            v = _vectors(batch["v"]).astype(np.float32)
+            v, _ = scaled(_vectors(batch["v"]))
             for f in range(FORESTS):
                 side = (v @ _planes(f, bits, dim) > 0) @ weights if bits else np.zeros(len(v), np.int64)
                 yield pa.RecordBatch.from_arrays([batch["id"], pa.array(np.full(len(v), f, np.int32)), pa.array(side.astype(np.int64)), batch["v"]], names=["id", "forest", "side", "v"])
@@ -85,17 +92,17 @@ def _first_graph(vectors: DataFrame, n: int, dim: int) -> DataFrame:
 
         def flush() -> pa.RecordBatch:
             ids = np.concatenate([x[0] for x in held])
-            v = np.concatenate([x[1] for x in held])
-            s = v @ v.T
+            v, m = scaled(np.concatenate([x[1] for x in held]))
+            s = (v @ v.T) * m
             np.fill_diagonal(s, -np.inf)
             t = min(FIRST, len(ids) - 1)
             best = np.argpartition(-s, t - 1, axis=1)[:, :t] if t else np.zeros((len(ids), 0), int)
-            return pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, t)), pa.array(ids[best.ravel()]), pa.array(np.take_along_axis(s, best, 1).ravel().astype(np.int32))], schema=out)
+            return pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, t)), pa.array(ids[best.ravel()]), pa.array(np.take_along_axis(s, best, 1).ravel())], schema=out)
 
         for batch in batches:
             key = np.stack([batch["forest"].to_numpy().astype(np.int64), batch["side"].to_numpy()], 1)
             cuts = np.flatnonzero((np.diff(key, axis=0) != 0).any(1)) + 1
-            ids, v = batch["id"].to_numpy(), _vectors(batch["v"]).astype(np.float32)
+            ids, v = batch["id"].to_numpy(), _vectors(batch["v"])
             for a, b in zip([0, *cuts], [*cuts, len(ids)]):
                 while a < b:
                     if held and (own != tuple(key[a]) or size >= 2 * BLOCK):
@@ -109,7 +116,7 @@ def _first_graph(vectors: DataFrame, n: int, dim: int) -> DataFrame:
         if held:
             yield flush()
 
-    divided = vectors.select("id", "v").mapInArrow(divide, "id long, forest int, side long, v array<int>")
+    divided = vectors.select("id", "v").mapInArrow(divide, f"id long, forest int, side long, v {vectors.schema['v'].dataType.simpleString()}")
     mixed = F.xxhash64("id", "forest")
     # a block that grows beyond what one task should get is dealt over several
     share = F.pmod(mixed, F.lit(common.parts_for(n, 64 * PART)))
@@ -120,7 +127,7 @@ def _merge(graph: DataFrame, updates: DataFrame, parts: int, turn: int) -> DataF
     """The K best neighbours per vector of graph and updates; ``pick`` marks the samples of the next
     round: 1 new, 2 old, 0 neither.  Picked new neighbours are old afterwards."""
     part = F.pmod(F.xxhash64("p"), F.lit(parts)).cast("int").alias("part")
-    schema = "p long, q long, s int, fresh boolean, pick int"
+    schema = "p long, q long, s double, fresh boolean, pick int"
     out = common.pa_schema(schema)
 
     def run(rows: pa.Table) -> pa.Table:
@@ -154,10 +161,10 @@ def _local_joins(graph: DataFrame, vectors: DataFrame, parts: int, turn: int) ->
     part = F.pmod(F.xxhash64("u"), F.lit(parts)).cast("int").alias("part")
     met = picked.select(F.col("p").alias("u"), F.col("q").alias("v"), "pick").union(backward.select("u", "v", "pick")).groupBy("u", "v").agg(F.min("pick").alias("pick")).select(part, "u", "v", "pick")
     met = common.durable(met, "met")
-    worst = graph.groupBy("p").agg(F.min("s").alias("worst"), F.count(F.lit(1)).alias("n")).select("p", F.when(F.col("n") >= K, F.col("worst")).otherwise(F.lit(_NONE)).alias("worst"))
-    sent = vectors.join(worst, F.col("id") == F.col("p"), "left").select("id", "v", F.coalesce("worst", F.lit(_NONE)).alias("worst"))
+    worst = graph.groupBy("p").agg(F.min("s").alias("worst"), F.count(F.lit(1)).alias("n")).select("p", F.when(F.col("n") >= K, F.col("worst")).otherwise(F.lit(float("-inf"))).alias("worst"))
+    sent = vectors.join(worst, F.col("id") == F.col("p"), "left").select("id", "v", F.coalesce("worst", F.lit(float("-inf"))).alias("worst"))
     needed = met.select((F.col("part") + 0).alias("part"), F.col("v").alias("need")).distinct().join(sent, F.col("need") == F.col("id")).select(F.col("part").alias("to"), "id", "v", "worst")
-    schema = "p long, q long, s int"
+    schema = "p long, q long, s double"
     out = common.pa_schema(schema)
 
     def run(rows: pa.Table, own: pa.Table) -> pa.Table:
@@ -166,7 +173,8 @@ def _local_joins(graph: DataFrame, vectors: DataFrame, parts: int, turn: int) ->
         ids, worst = ids[order], own["worst"].to_numpy()[order]
         if not len(ids) or not rows.num_rows:
             return out.empty_table()
-        x = np.concatenate([_vectors(own["v"]).astype(np.float32)[order], np.zeros((1, _vectors(own["v"].slice(0, 1)).shape[1]), np.float32)])
+        x, m = scaled(_vectors(own["v"])[order])
+        x, m = np.concatenate([x, np.zeros((1, x.shape[1]), np.float32)]), np.append(m, 0)
         u, v, pick = (rows[c].to_numpy() for c in ("u", "v", "pick"))
         order = np.lexsort((v, pick, u))
         u, v, pick = u[order], np.searchsorted(ids, v[order]), pick[order]
@@ -184,7 +192,7 @@ def _local_joins(graph: DataFrame, vectors: DataFrame, parts: int, turn: int) ->
             new = np.zeros((stop - at, width), bool)
             a[r[ok], c[ok]] = v[span][ok]
             new[r[ok], c[ok]] = pick[span][ok] == 1
-            s = x[a] @ x[a].transpose(0, 2, 1)
+            s = (x[a] @ x[a].transpose(0, 2, 1)) * m[a][:, None, :]
             # two old neighbours have met before
             s[~(new[:, :, None] | new[:, None, :]) | (a == len(ids))[:, :, None] | (a == len(ids))[:, None, :] | (a[:, :, None] == a[:, None, :])] = -np.inf
             best = np.argpartition(-s, UPDATES, axis=2)[:, :, :UPDATES]
@@ -193,7 +201,7 @@ def _local_joins(graph: DataFrame, vectors: DataFrame, parts: int, turn: int) ->
             q = np.take_along_axis(np.broadcast_to(a[:, None, :], s.shape), best, 2)
             bound = np.append(worst, 0)[p]
             good = np.isfinite(score) & (score > bound)
-            found.append((p[good], q[good], score[good].astype(np.int32)))
+            found.append((p[good], q[good], score[good]))
         p, q, s = (np.concatenate([f[k] for f in found]) for k in range(3))
         keep = best_per(p, q, s, K)
         return pa.Table.from_arrays([pa.array(ids[p[keep]]), pa.array(ids[q[keep]]), pa.array(s[keep])], schema=out)
@@ -202,25 +210,23 @@ def _local_joins(graph: DataFrame, vectors: DataFrame, parts: int, turn: int) ->
 
 
 def neighbour_graph(vectors: DataFrame, n: int, dim: int) -> DataFrame:
-    """(p, q, s): the K approximate neighbours of each of n vectors (id, v with whole components)."""
+    """(p, q, s): the K approximate neighbours of each of n distinct vectors (id, v); s is their product up to a factor of p's."""
     parts = common.parts_for(n, PART)
     parts = max(parts, min(vectors.sparkSession.sparkContext.defaultParallelism * 2, common.parts_for(n, 256)))
-    empty = vectors.sparkSession.createDataFrame([], "p long, q long, s int, fresh boolean")
+    empty = vectors.sparkSession.createDataFrame([], "p long, q long, s double, fresh boolean")
     graph = _merge(empty, _first_graph(vectors, n, dim), parts, 0)
     for turn in range(1, ITERATIONS + 1):
         graph = _merge(graph, _local_joins(graph, vectors, parts, turn), parts, turn)
     return graph.select("p", "q", "s")
 
 
-def _score(rows: DataFrame, vectors: DataFrame, kind: str, f, schema: str) -> DataFrame:
-    """Send each part of the queries its rows (part, p, q, ...) and each vector that these need, once."""
-    needed = rows.select((F.col("part") + 0).alias("part"), F.explode(F.array("p", "q")).alias("need")).distinct().join(vectors, F.col("need") == F.col("id")).select(F.col("part").alias("to"), "id", "v")
+def _score(rows: DataFrame, vectors: DataFrame, f, schema: str) -> DataFrame:
+    """Send each part of the queries its rows (part, p, q, ...) and each vector (id, v, ...) that these need, once."""
+    needed = rows.select((F.col("part") + 0).alias("part"), F.explode(F.array("p", "q")).alias("need")).distinct().join(vectors, F.col("need") == F.col("id")).select(F.col("part").alias("to"), *vectors.columns)
     out = common.pa_schema(schema)
 
     def run(own: pa.Table, some: pa.Table) -> pa.Table:
-        ids = some["id"].to_numpy()
-        order = np.argsort(ids)
-        return f(own, ids[order], _vectors(some["v"]).astype(kind)[order], out) if len(ids) else out.empty_table()
+        return f(own, some.take(np.argsort(some["id"].to_numpy())), out) if some.num_rows else out.empty_table()
 
     return rows.groupBy("part").cogroup(needed.groupBy("to")).applyInArrow(run, schema)
 
@@ -229,10 +235,11 @@ def search(queries: DataFrame, graph: DataFrame, vectors: DataFrame, rows: int)
     """(p, q): the BEAM best vectors q that greedy search finds for each query p (column id)."""
     parts = common.parts_for(rows, 256)
     part = F.pmod(F.xxhash64("p"), F.lit(parts)).cast("int").alias("part")
-    beam = graph.join(queries.select(F.col("id").alias("i")), F.col("p") == F.col("i"), "left_semi").select(part, "p", "q", F.lit(None).cast("int").alias("s"), F.lit(False).alias("done"))
-    schema = "p long, q long, s int, done boolean, next boolean"
+    beam = graph.join(queries.select(F.col("id").alias("i")), F.col("p") == F.col("i"), "left_semi").select(part, "p", "q", F.lit(None).cast("double").alias("s"), F.lit(False).alias("done"))
+    schema = "p long, q long, s double, done boolean, next boolean"
 
-    def walk(own: pa.Table, ids: np.ndarray, x: np.ndarray, out: pa.Schema) -> pa.Table:
+    def walk(own: pa.Table, some: pa.Table, out: pa.Schema) -> pa.Table:
+        ids, (x, m) = some["id"].to_numpy(), scaled(_vectors(some["v"]))
         p, q, done = (own[c].to_numpy() for c in ("p", "q", "done"))
         keep = p != q
         p, q, done = p[keep], q[keep], done[keep]
@@ -242,22 +249,22 @@ def search(queries: DataFrame, graph: DataFrame, vectors: DataFrame, rows: int)
         fresh[1:] = (p[1:] != p[:-1]) | (q[1:] != q[:-1])
         p, q, done = p[fresh], q[fresh], done[fresh]
         i, j = np.searchsorted(ids, p), np.searchsorted(ids, q)
-        s = np.concatenate([np.einsum("nd,nd->n", x[i[k : k + 65536]], x[j[k : k + 65536]]) for k in range(0, max(1, len(i)), 65536)]).astype(np.int64)
+        s = np.concatenate([np.einsum("nd,nd->n", x[i[k : k + 65536]], x[j[k : k + 65536]]) for k in range(0, max(1, len(i)), 65536)]) * m[j]
         keep = best_per(p, q, s, BEAM)
         p, q, s, done = p[keep], q[keep], s[keep], done[keep]
         chosen = np.zeros(len(p), bool)
         chosen[best_per(p[~done], q[~done], s[~done], EXPAND)] = True
         turn = np.zeros(len(p), bool)
         turn[np.flatnonzero(~done)[chosen[: (~done).sum()]]] = True
-        return pa.Table.from_arrays([pa.array(p), pa.array(q), pa.array(s.astype(np.int32)), pa.array(done | turn), pa.array(turn)], schema=out)
+        return pa.Table.from_arrays([pa.array(p), pa.array(q), pa.array(s), pa.array(done | turn), pa.array(turn)], schema=out)
 
     for turn in range(STEPS + 1):
-        state = common.durable(_score(beam, vectors, "f4", walk, schema), "beam")
+        state = common.durable(_score(beam, vectors, walk, schema), "beam")
         if turn == STEPS:
             return state.select("p", "q")
         step = state.where("next").select("p", F.col("q").alias("at"))
         reached = step.join(graph.select(F.col("p").alias("from"), "q"), F.col("at") == F.col("from")).select("p", "q").distinct()
-        beam = state.select(part, "p", "q", "s", "done").union(reached.select(part, "p", "q", F.lit(None).cast("int"), F.lit(False)))
+        beam = state.select(part, "p", "q", "s", "done").union(reached.select(part, "p", "q", F.lit(None).cast("double"), F.lit(False)))
 
 
 def nearest(embeddings: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
@@ -269,26 +276,43 @@ def nearest(embeddings: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
     schema = "query_id long, rank int, vec_id long, score double"
     if lengths is None:
         return embeddings.sparkSession.createDataFrame([], schema)
-    dim, n, top = lengths["d"], lengths["n"], float(lengths["m"])
-    own = own.where(F.size("e") == dim)
-    scale = float(min(32767, np.floor(np.sqrt(2**24 / dim)))) / top  # sums of products stay whole in single precision
-    vectors = common.durable(own.select("id", F.transform("e", lambda c: F.round(c.cast("double") * scale).cast("int")).alias("v")), "whole")
-    graph = neighbour_graph(vectors, n, dim)
-    queries = own.where(F.col("id") % every == 0).select("id")
-    rows = queries.count()
-    found = search(queries, graph, vectors, rows)
+    own = own.where(F.size("e") == lengths["d"]).withColumn("c", F.xxhash64("e"))
+    # equal vectors are one: graph and search know it by its smallest id
+    classes = common.durable(own.groupBy("c").agg(F.min("id").alias("id"), F.first("e").alias("v")), "classes")
+    scale = float(min(32767, np.floor(np.sqrt(2**24 / lengths["d"])))) / float(lengths["m"])  # sums of products stay whole in single precision
+    vectors = common.durable(classes.select("id", F.transform("v", lambda c: F.round(c.cast("double") * scale).cast("int")).alias("v")), "whole")
+    graph = neighbour_graph(vectors, vectors.count(), lengths["d"])
+    queries = own.where(F.col("id") % every == 0).select(F.col("id").alias("query_id"), "c")
+    asked = common.durable(queries.select("c").distinct().join(classes.select("c", "id"), "c").select("id"), "asked")
+    rows = asked.count()
+    found = search(asked, graph, vectors, rows).union(asked.select("id", "id"))
     part = F.pmod(F.xxhash64("p"), F.lit(common.parts_for(rows, 256))).cast("int").alias("part")
-
-    def rank(own: pa.Table, ids: np.ndarray, x: np.ndarray, out: pa.Schema) -> pa.Table:
-        p, q = own["p"].to_numpy(), own["q"].to_numpy()
-        i, j = np.searchsorted(ids, p), np.searchsorted(ids, q)
+    # of a class k + 1 ids are enough, as one may be the query's own
+    place = F.row_number().over(Window.partitionBy("c").orderBy("id"))
+    members = own.select("c", "id").withColumn("place", place).where(F.col("place") <= k + 1).groupBy("c").agg(F.collect_list("id").alias("ids"))
+    classes = classes.join(members, "c").select("id", "v", "c", "ids")
+    lists = "c long, ids array<long>, scores array<double>"
+
+    def rank(own: pa.Table, some: pa.Table, out: pa.Schema) -> pa.Table:
+        ids, x, c = some["id"].to_numpy(), _vectors(some["v"]).astype(np.float64), some["c"].to_numpy()
+        i, j = np.searchsorted(ids, own["p"].to_numpy()), np.searchsorted(ids, own["q"].to_numpy())
         s = np.array([np.dot(x[a], x[b]) for a, b in zip(i, j)])
-        order = np.lexsort((q, -s, p))
-        p, q, s = p[order], q[order], s[order]
-        begins = np.ones(len(p), bool)
-        begins[1:] = p[1:] != p[:-1]
-        place = np.arange(len(p)) - np.maximum.accumulate(np.where(begins, np.arange(len(p)), 0))
-        top = place < k
-        return pa.Table.from_arrays([pa.array(p[top]), pa.array((place[top] + 1).astype(np.int32)), pa.array(q[top]), pa.array(s[top])], schema=out)
-
-    return _score(found.select(part, "p", "q"), own.select("id", F.col("e").alias("v")), "f8", rank, schema)
+        sizes = some["ids"].combine_chunks().value_lengths().to_numpy()
+        begins, n = np.cumsum(sizes) - sizes, sizes[j]
+        q = some["ids"].combine_chunks().flatten().to_numpy()[np.repeat(begins[j] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        i, s = np.repeat(i, n), np.repeat(s, n)
+        order = np.lexsort((q, -s, i))
+        i, q, s = i[order], q[order], s[order]
+        begins = np.ones(len(i), bool)
+        begins[1:] = i[1:] != i[:-1]
+        top = np.arange(len(i)) - np.maximum.accumulate(np.where(begins, np.arange(len(i)), 0)) <= k
+        i, q, s = i[top], q[top], s[top]
+        which, at = np.unique(i, return_index=True)
+        offsets = pa.array(np.append(at, len(i)).astype(np.int32))
+        return pa.Table.from_arrays([pa.array(c[which]), pa.ListArray.from_arrays(offsets, pa.array(q)), pa.ListArray.from_arrays(offsets, pa.array(s))], schema=out)
+
+    ranked = common.durable(_score(found.select(part, "p", "q"), classes, rank, lists), "ranked")
+    each = common.join_checked(queries, ranked, "c", "inner", rows * (k + 1)).select("query_id", F.arrays_zip("ids", "scores").alias("all"))
+    others = F.slice(F.filter("all", lambda x: x["ids"] != F.col("query_id")), 1, k)
+    each = each.select("query_id", F.posexplode(others).alias("place", "x"))
+    return each.select("query_id", (F.col("place") + 1).cast("int").alias("rank"), F.col("x.ids").alias("vec_id"), F.col("x.scores").alias("score"))

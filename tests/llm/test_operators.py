@@ -445,6 +445,27 @@ def test_nearest(spark, monkeypatch):
     assert nndescent.nearest(df.limit(0)).count() == 0
 
 
+def _recall(spark, x, ids):
+    got = defaultdict(list)
+    for r in nndescent.nearest(spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x)], "vec_id long, embedding array<float>")).collect():
+        got[r.query_id].append((r["rank"], r.vec_id))
+    x, ids = x.astype(np.float32).astype(float), np.array(ids)
+    s = x @ x[ids % 20 == 0].T
+    hits = 0
+    for k, q in enumerate(ids[ids % 20 == 0].tolist()):
+        own = np.where(ids == q, -np.inf, np.round(s[:, k], 9))
+        assert sorted(r for r, _ in got[q]) == list(range(1, 21)), q
+        hits += len({i for _, i in got[q]} & set(ids[np.lexsort((ids, -own))[:20]].tolist()))
+    return hits / (20 * len(got))
+
+
+def test_nearest_of_thousands_of_copies(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(3000, 16))
+    x[rng.permutation(3000)[:2000]] = x[0]
+    assert _recall(spark, x, range(3000)) >= 0.97
+
+
 # the rest
 
 
