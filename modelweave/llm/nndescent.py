@@ -8,9 +8,9 @@ A query starts at its own neighbours and walks the graph greedily: in each of ST
 best vectors of its list of BEAM whose neighbours weren't looked at yet are expanded.
 
 Equal vectors are one class, known by the 64-bit hash of its components; graph and search see each
-class once, and every class found stands for the smallest of its ids.  Graph and search use whole-number
-components, scaled so that products are exact in any order; the final list is scored on the original
-vectors in double precision.
+class once, and every class found stands for the smallest of its ids.  Graph and search use single
+precision, with each vector divided by a power of two of its own, so neither large nor small ones lose
+digits; the final list is scored on the original vectors in double precision.
 
 Defined cases: vectors that are null, zero or hold null or non-finite components, of another length
 than most (the shortest, among equals), or with a null id take no part, neither as queries; rows that
@@ -49,8 +49,9 @@ def _vectors(column) -> np.ndarray:
 
 
 def scaled(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Single-precision vectors and their factors."""
-    return v.astype(np.float32), np.ones(len(v))
+    """Single-precision vectors, each divided by a power of two of its own, and these powers (up to a common factor)."""
+    power = np.frexp(np.abs(v).max(1, initial=0))[1]
+    return np.ldexp(v, -power[:, None]).astype(np.float32), np.ldexp(1.0, power - 32)
 
 
 def _planes(forest: int, bits: int, dim: int) -> np.ndarray:
@@ -272,15 +273,14 @@ def nearest(embeddings: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
     own = usable(embeddings.select(F.col("vec_id").cast("long").alias("id"), F.col("embedding"))).where("ok AND id IS NOT NULL")
     own = own.groupBy("id").agg(F.min("embedding").alias("e"))
     own = common.durable(own, "vectors")
-    lengths = own.groupBy(F.size("e").alias("d")).agg(F.count(F.lit(1)).alias("n"), F.max(F.array_max(F.transform("e", F.abs))).alias("m")).orderBy(F.desc("n"), "d").first()
+    lengths = own.groupBy(F.size("e").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "d").first()
     schema = "query_id long, rank int, vec_id long, score double"
     if lengths is None:
         return embeddings.sparkSession.createDataFrame([], schema)
     own = own.where(F.size("e") == lengths["d"]).withColumn("c", F.xxhash64("e"))
     # equal vectors are one: graph and search know it by its smallest id
     classes = common.durable(own.groupBy("c").agg(F.min("id").alias("id"), F.first("e").alias("v")), "classes")
-    scale = float(min(32767, np.floor(np.sqrt(2**24 / lengths["d"])))) / float(lengths["m"])  # sums of products stay whole in single precision
-    vectors = common.durable(classes.select("id", F.transform("v", lambda c: F.round(c.cast("double") * scale).cast("int")).alias("v")), "whole")
+    vectors = classes.select("id", "v")
     graph = neighbour_graph(vectors, vectors.count(), lengths["d"])
     queries = own.where(F.col("id") % every == 0).select(F.col("id").alias("query_id"), "c")
     asked = common.durable(queries.select("c").distinct().join(classes.select("c", "id"), "c").select("id"), "asked")

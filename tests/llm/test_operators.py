@@ -466,6 +466,13 @@ def test_nearest_of_thousands_of_copies(spark):
     assert _recall(spark, x, range(3000)) >= 0.97
 
 
+def test_nearest_with_a_large_vector(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(1500, 16))
+    x[7, 3] = 4000.0
+    assert _recall(spark, x, range(1500)) >= 0.95
+
+
 # the rest
 
 
