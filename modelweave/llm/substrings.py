@@ -220,7 +220,9 @@ def repeats(docs: DataFrame, size: int = SIZE, with_text: bool = False) -> DataF
     placed = found.join(outer, "outer", "left").withColumn("sure", F.col("first").isNotNull())
     placed = placed.withColumn("leads", F.coalesce(F.col("first") == place, F.lit(False))).drop("outer", "first", "at")
     placed = common.durable(placed, "placed")
-    inner = placed.groupBy("inner").agg(F.count(F.lit(1)).alias("n"), F.max(~F.col("sure")).alias("unsure")).where("n > 1 AND unsure").select(F.col("inner").alias("inner_"))
+    # windows without inner phrases may repeat within one group
+    inner = placed.groupBy("inner").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("x1") - F.col("x0")).alias("w"), F.max(~F.col("sure")).alias("unsure"))
+    inner = inner.where("(n > 1 OR inner = 0 AND w > 1) AND unsure").select(F.col("inner").alias("inner_"))
     placed = placed.join(inner, F.col("inner") == F.col("inner_"), "left").withColumn("again", F.col("inner_").isNotNull())
     # sure groups are read once per outer sequence, to hold unsure ones against them
     groups_ = F.struct("x0", "x1", "sure", (F.col("again") & (~F.col("sure") | F.col("leads"))).alias("read"))

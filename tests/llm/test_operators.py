@@ -386,6 +386,11 @@ def test_substrings(docs, rows, none, size):
         assert clean.columns == docs.columns and clean.where("text IS NULL").count() == 1
 
 
+def test_substrings_of_a_single_periodic_text(spark):
+    rows = [(1, "x" * 3000), (2, "short")]
+    assert _sorted(substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"))) == _removed(rows, 400)
+
+
 # vectors
 
 
