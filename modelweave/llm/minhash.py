@@ -17,7 +17,7 @@ components stays uncompared.  A class is known by 64 bits of its digest.
 
 Defined cases: fewer than five words are one shingle of all words; without words or text the set is
 empty and linked with nothing; null ids take no part (component null, kept); rows that repeat an
-id are judged by their own texts and keep the id's smallest component; an empty table gives no
+id with other texts are compared by each of these and share one component; an empty table gives no
 rows; extra columns are ignored.
 
 Scale: signatures are a map; classes, buckets and leaders are grouped minima with map-side
@@ -265,12 +265,21 @@ def block_links(rows: list[tuple[int, int, int, np.ndarray]], percent: int) -> l
     return found
 
 
-def _grouped(own: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """digest and, of the component of its class, the smallest (doc_id, t), null ids last; ``own``: rows of ``describe``."""
+def _same_id(own: DataFrame) -> DataFrame:
+    """Links (a, b) between the classes of rows that repeat an id with other texts."""
+    rows = own.where("digest IS NOT NULL").select("doc_id", "digest")
+    several = rows.groupBy("doc_id").agg(F.min("digest").alias("low"), F.max("digest").alias("high")).where("low <> high").select("doc_id", "low")
+    return rows.join(several, "doc_id").where("digest <> low").select(F.xxhash64("low").alias("a"), F.xxhash64("digest").alias("b")).distinct()
+
+
+def _grouped(own: DataFrame, docs: DataFrame, percent: int, more: DataFrame | None = None) -> DataFrame:
+    """digest and, of the component of its class, the smallest (doc_id, t), null ids last; ``own``: rows of ``describe``,
+    ``more``: links besides those of near-duplicates."""
     rows = own.where("digest IS NOT NULL").withColumn("first", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t"))
     classes = rows.groupBy("digest").agg(F.min("first").alias("first"), F.min_by("bands", "first").alias("bands"), F.first("n").alias("n"))
     classes = common.durable(classes.withColumn("rep", F.xxhash64("digest")), "classes")
-    known = common.durable(components(links(classes, docs, percent)), "components")
+    found = links(classes, docs, percent)
+    known = common.durable(components(found.union(more) if more is not None else found), "components")
     # the class of a component is any hash; what it is called is the smallest of its members'
     low = known.join(classes.select(F.col("rep").alias("node"), "first"), "node").groupBy("component").agg(F.min("first").alias("low"))
     low = common.durable(low, "low")
@@ -281,7 +290,8 @@ def _grouped(own: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id, kept, one row per row of ``docs``."""
     own = common.durable(describe(docs), "signatures")
-    named = _grouped(own.where("doc_id IS NOT NULL"), docs, percent).select("d", F.col("low.doc_id").alias("c"))
+    some = own.where("doc_id IS NOT NULL")
+    named = _grouped(some, docs, percent, _same_id(some)).select("d", F.col("low.doc_id").alias("c"))
     out = own.select("doc_id", "n", "digest").join(named, F.col("digest") == F.col("d"), "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("c", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))

@@ -330,6 +330,17 @@ def test_minhash_loose_group(spark, monkeypatch):
     assert _sorted(minhash.near_duplicates(df)) == _brute(own, 85)
 
 
+def test_minhash_ids_with_several_texts(spark):
+    rng = random.Random(13)
+    text = lambda: " ".join(f"w{rng.randrange(10**6)}" for _ in range(60))
+    own = []
+    for k in range(8):
+        a, b, c = text(), text(), text()
+        own += [(k, a), (k, b), (100 + 3 * k, a + " end"), (101 + 3 * k, b + " end"), (101 + 3 * k, c), (102 + 3 * k, c + " end")]
+    df = spark.createDataFrame(own, "doc_id long, text string").repartition(4)
+    assert _sorted(minhash.near_duplicates(df)) == _brute(own, 85)
+
+
 def test_one_row_of_each_group_is_left(spark):
     """A repeated row, copies without ids and an id with two texts, after near-dedup and removal of repeats."""
     rng = random.Random(12)
