@@ -6,7 +6,8 @@ that each symbol expands to, the documents' places and the remaining symbols.  N
 end id, so no rule reaches over a document's end and each document can be decoded alone.
 
 A round replaces the most frequent pairs at once instead of one pair, which gives the same kind of
-grammar at the speed of array operations.  Symbols stay below 65,536, so that each takes two bytes.
+grammar at the speed of array operations.  Rounds go on until no pair is frequent enough for a rule to
+pay or no symbol is left.  Symbols stay below 65,536, so that each takes two bytes.
 
 Defined cases: a null or empty text has only the end id; repeated ids keep one entry per row, in
 the order of their texts; null ids come first; an empty table gives no files and no rows; extra
@@ -40,8 +41,10 @@ SHARD_IDS = 2_000_000
 #: Most tasks that read files.
 READ_TASKS = 20_000
 MAGIC = b"MWRP0001"
-#: Rounds and rules of a shard; a pair that is rarer than LEAST is left alone.
-ROUNDS, RULES_A_ROUND, LEAST = 4, 3_500, 24
+#: A rule takes eight bytes and saves two at each place, so a pair that is rarer than LEAST is left alone.
+LEAST = 5
+#: Rules of a round: half of the symbols that are left, RULES_A_ROUND at least.
+RULES_A_ROUND = 64
 _SLOTS = 1 << 18
 _MIX = np.uint32(2654435761)
 
@@ -56,10 +59,8 @@ def compress(ids: np.ndarray, first_symbol: int) -> tuple[np.ndarray, np.ndarray
     rules: list[np.ndarray] = []
     lengths = np.ones(1 << 16, np.uint32)
     made = first_symbol
-    for _ in range(ROUNDS):
-        room = min(RULES_A_ROUND, (1 << 16) - made)
-        if len(symbols) < 2 * LEAST or room <= 0:
-            break
+    while len(symbols) > 1 and (left := (1 << 16) - made):
+        room = min(max(RULES_A_ROUND, left // 2), left)
         code = symbols[:-1] << np.uint32(16) | symbols[1:]
         usable = (symbols[:-1] != END_ID) & (symbols[1:] != END_ID)
         counted = np.sort(code[usable])
@@ -86,11 +87,9 @@ def compress(ids: np.ndarray, first_symbol: int) -> tuple[np.ndarray, np.ndarray
         symbols[at] = rule[slot[at]]
         stays = np.ones(len(symbols), bool)
         stays[at + 1] = False
-        before, symbols = len(symbols), symbols[stays]
+        symbols = symbols[stays]
         rules.append(np.stack([pairs >> np.uint32(16), pairs & np.uint32(0xFFFF)], 1))
         made += len(pairs)
-        if len(symbols) > 0.97 * before:
-            break
     grammar = np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)
     return symbols.astype("<u2"), grammar.astype("<u2"), lengths[first_symbol:made].astype("<u4")
 

@@ -143,6 +143,16 @@ def test_grammar_round_trip_and_random_access():
     assert [x.tolist() for x in shard.all_ids()] == [d.tolist() for d in docs]
 
 
+def test_grammar_goes_on_while_pairs_repeat():
+    rng = np.random.default_rng(1)
+    doc = np.append(rng.integers(1, 50257, 500), 0).astype("<u4")
+    symbols, rules, lengths = repair.compress(np.tile(doc, 400), 50257)
+    assert len(symbols) <= 3 * 400 and lengths.max() > 100
+    pairs = Counter(zip(symbols[:-1].tolist(), symbols[1:].tolist()))
+    assert max(n for p, n in pairs.items() if 0 not in p) < repair.LEAST if any(0 not in p for p in pairs) else True
+    assert (repair.expand(symbols, rules, 50257) == np.tile(doc, 400)).all()
+
+
 def test_sentencepiece(docs, rows, none):
     library = sentencepiece.SentencePieceProcessor(model_file=PIECE)
     own = pieces.PieceModel(PIECE)
