@@ -14,8 +14,9 @@ from modelweave.llm import common, langid, minhash, packing, quality, substrings
 
 #: Near-duplicates: percent of the union of five-word shingles that two documents share.
 PERCENT = 80
-#: Bytes of the shortest string that is removed where it repeats: some 40 to 50 words.
-REPEAT_BYTES = 240
+#: Bytes of the shortest string that is removed where it repeats: some 40 to 50 words; and words of a string that is
+#: removed even if it has fewer bytes.
+REPEAT_BYTES, REPEAT_WORDS = 240, 51
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +36,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that repeat, within a document or between documents, are removed from the texts."""
-    return substrings.cleaned(docs, REPEAT_BYTES)
+    return substrings.cleaned(docs, REPEAT_BYTES, REPEAT_WORDS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

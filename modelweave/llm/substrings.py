@@ -46,6 +46,7 @@ _U = np.uint64
 _MUL = _U(0x9E3779B97F4A7C15)
 _BASE = 0xD6E8FEB86659FD93
 _VALUES = np.random.default_rng(7).integers(0, 1 << 63, 256, dtype=np.uint64) * _U(2) + _U(1)
+_IN_WORD = np.array([chr(c) not in " \t\n\r\v\f" for c in range(256)], np.int8)
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -176,9 +177,44 @@ def parses(texts: DataFrame, size: int) -> DataFrame:
     return own.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first(whole).alias("p")).select("key", "rep", "copies", "p.*")
 
 
-def repeats(docs: DataFrame, size: int = SIZE, with_text: bool = False) -> DataFrame:
+def word_windows(raw: bytes, words: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, length, fingerprint) of the strings of so many whole words that have less than ``size`` bytes."""
+    flat = np.frombuffer(raw, np.uint8)
+    inside = np.concatenate(([0], _IN_WORD[flat], [0]))
+    edges = np.flatnonzero(np.diff(inside))
+    x, stop = edges[::2][: max(0, len(edges) // 2 - words + 1)], edges[1::2][words - 1 :]
+    short = stop - x < size
+    x, stop = x[short], stop[short]
+    if not len(x):
+        return x, x, np.zeros(0, np.uint64)
+    sums = prefix_sums(flat)
+    return x, stop - x, prints(sums[x], sums[stop], x, stop - x)
+
+
+def _passages(texts: DataFrame, size: int, words: int) -> DataFrame:
+    """key, rep_, copies_ and the places (px, pn) of strings of ``words`` words and less than ``size`` bytes that occur twice."""
+    schema = "key long, doc_id long, first boolean, px int, pn int, h long"
+
+    def run(batch: pa.RecordBatch, out: pa.Schema) -> pa.RecordBatch:
+        cols: list[list] = [[] for _ in out]
+        for key, i, text in zip(*(batch[c].to_pylist() for c in ("key", "doc_id", "text"))):
+            x, n, h = word_windows(text.encode(), words, size)
+            for c, v in zip(cols, ([key] * len(x), [i] * len(x), [k == 0 for k in range(len(x))], x.tolist(), n.tolist(), h.view(np.int64).tolist())):
+                c.extend(v)
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, out)], schema=out)
+
+    rows = common.durable(texts.select("key", "doc_id", "text").mapInArrow(_rows(run, common.pa_schema(schema)), schema), "passages")
+    again = rows.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h")
+    # if a text stands several times, all of its strings repeat, so the first one, too
+    each = rows.join(again, "h").groupBy("key", "px", "pn").agg(F.min("doc_id").alias("rep_"), F.sum(F.col("first").cast("int")).alias("c"))
+    each = each.groupBy("key").agg(F.min("rep_").alias("rep_"), F.greatest(F.lit(1), F.max("c")).alias("copies_"), F.collect_list(F.struct("px", "pn")).alias("p"))
+    return common.durable(each.select("key", "rep_", "copies_", F.col("p.px").alias("px"), F.col("p.pn").alias("pn")), "passages")
+
+
+def repeats(docs: DataFrame, size: int = SIZE, with_text: bool = False, words: int = 0) -> DataFrame:
     """key (hash of the text), start and stop of the maximal repeated runs, sha (of the rest) and, with ``with_text``,
-    the rest itself, for texts that have any; texts of several documents have ``whole`` set instead."""
+    the rest itself, for texts that have any; texts of several documents have ``whole`` set instead.
+    With ``words``, strings of so many whole words that repeat are removed as well if they are shorter than ``size``."""
     texts = docs.select(F.xxhash64("text").alias("key"), "doc_id", "text")
     parsed = common.durable(parses(texts, size), "parse")
 
@@ -229,6 +265,14 @@ def repeats(docs: DataFrame, size: int = SIZE, with_text: bool = False) -> DataF
     per_text = placed.where(F.col("sure") | F.col("again")).groupBy("key").agg(F.collect_list(groups_).alias("g"))
     per_text = per_text.select("key", *(F.col(f"g.{c}").alias(c) for c in ("x0", "x1", "sure", "read")))
     marks = per_text.join(parsed.select("key", "rep", "copies"), "key")
+    if words:
+        passages = _passages(texts, size, words)
+        marks = marks.join(passages, "key", "full")
+        kinds = {"x0": "int", "x1": "int", "sure": "boolean", "read": "boolean", "px": "int", "pn": "int"}
+        lists = [F.coalesce(c, F.array().cast(f"array<{kind}>")).alias(c) for c, kind in kinds.items()]
+        marks = marks.select("key", *lists, F.coalesce("rep", "rep_").alias("rep"), F.coalesce("copies", "copies_").alias("copies"))
+    else:
+        marks = marks.select("*", *(F.array().cast("array<int>").alias(c) for c in ("px", "pn")))
     marks = common.durable(marks.select(F.col("key").alias("k"), *marks.columns[1:]), "marks")
     some = texts.join(marks, (F.col("key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("rep"))).drop("k", "rep", "doc_id")
     some = common.durable(some, "texts")
@@ -262,7 +306,8 @@ def repeats(docs: DataFrame, size: int = SIZE, with_text: bool = False) -> DataF
             _, which, n = np.unique(h, return_inverse=True, return_counts=True)
             twice = x[(n[which] > 1) & ~known] if len(x) else x
             hit = _numpy(batch["hits"], k) if batch["hits"][k].is_valid else np.zeros(0, np.int32)
-            spans = covered(len(raw), np.concatenate([x0[sure], hit, twice]), np.concatenate([x1[sure] - 1 + size, hit + size, twice + size]))
+            px, pn = _numpy(batch["px"], k), _numpy(batch["pn"], k)
+            spans = covered(len(raw), np.concatenate([x0[sure], hit, twice, px]), np.concatenate([x1[sure] - 1 + size, hit + size, twice + size, px + pn]))
             starts.append([a for a, _ in spans])
             stops.append([b for _, b in spans])
             kept = b"".join(raw[a:b] for a, b in zip([0, *stops[-1]], [*starts[-1], len(raw)]))
@@ -270,9 +315,12 @@ def repeats(docs: DataFrame, size: int = SIZE, with_text: bool = False) -> DataF
             rests.append(kept.decode("utf-8", "ignore"))
         return pa.RecordBatch.from_arrays([batch["key"], *(pa.array(v, f.type) for v, f in zip((starts, stops, shas, rests), list(out)[1:]))], schema=out)
 
-    single = some.where("copies = 1").join(hits, "key", "left").select("key", "text", "x0", "x1", "sure", "read", "hits").mapInArrow(_rows(runs, common.pa_schema(schema)), schema)
+    single = some.where("copies = 1").join(hits, "key", "left").select("key", "text", "x0", "x1", "sure", "read", "hits", "px", "pn").mapInArrow(_rows(runs, common.pa_schema(schema)), schema)
     columns = [("start", "array<int>"), ("stop", "array<int>"), ("sha", "string"), *([("rest", "string")] if with_text else [])]
-    whole = parsed.where("copies > 1").select("key", F.lit(True).alias("whole"), *(F.lit(None).cast(t).alias(c) for c, t in columns))
+    several = parsed.where("copies > 1").select("key")
+    if words:
+        several = several.union(passages.where("copies_ > 1").select("key")).distinct()
+    whole = several.select("key", F.lit(True).alias("whole"), *(F.lit(None).cast(t).alias(c) for c, t in columns))
     return single.where(F.size("start") > 0).select("key", F.lit(False).alias("whole"), *(c for c, _ in columns)).union(whole)
 
 
@@ -292,11 +340,11 @@ def remove_repeats(docs: DataFrame, size: int = SIZE) -> DataFrame:
     )
 
 
-def cleaned(docs: DataFrame, size: int = SIZE) -> DataFrame:
+def cleaned(docs: DataFrame, size: int = SIZE, words: int = 0) -> DataFrame:
     """``docs`` with the repeated strings removed from ``text`` (parts of cut characters go, too) and ``n_chars``, if
     there is one, counted anew; documents of which nothing is left are dropped."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    found = common.durable(repeats(own, size, with_text=True), "repeats").select(F.col("key").alias("__key"), F.when(F.col("whole"), F.lit("")).otherwise(F.col("rest")).alias("__rest"))
+    found = common.durable(repeats(own, size, with_text=True, words=words), "repeats").select(F.col("key").alias("__key"), F.when(F.col("whole"), F.lit("")).otherwise(F.col("rest")).alias("__rest"))
     joined = docs.join(found, F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("__key"), "left")
     hit = F.col("__key").isNotNull()
     text = F.when(hit, F.col("__rest")).otherwise(F.col("text"))

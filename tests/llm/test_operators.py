@@ -412,6 +412,20 @@ def test_substrings_of_a_single_periodic_text(spark):
     assert _sorted(substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"))) == _removed(rows, 400)
 
 
+def test_pipeline_removes_passages_of_short_words(spark):
+    import corpus_pipeline
+
+    rng = random.Random(14)
+    passage = " ".join(f"{rng.choice('abcde')}{rng.choice('xyz')}" for _ in range(51))
+    under = " ".join(f"{rng.choice('fgh')}{rng.choice('xyz')}" for _ in range(50))
+    own = lambda k, n=30: " ".join(f"w{k}x{rng.randrange(10**6)}" for _ in range(n))
+    fill = [own(k) for k in range(6)]
+    twice = " ".join(f"{rng.choice('mno')}{rng.choice('xyz')}" for _ in range(55))
+    rows = [(1, f"{fill[0]} {passage} {fill[1]}"), (2, f"{fill[2]}\n{passage}"), (3, f"{fill[3]} {under} {fill[4]}"), (4, under), (5, passage), (6, twice), (7, twice), (None, fill[5])]
+    got = {r.doc_id: r.text for r in corpus_pipeline.repeats(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()}
+    assert len(passage) < 240 and got == {1: f"{fill[0]}  {fill[1]}", 2: f"{fill[2]}\n", 3: rows[2][1], 4: under, None: fill[5]}
+
+
 # vectors
 
 
