@@ -7,15 +7,16 @@ end id, so no rule reaches over a document's end and each document can be decode
 
 A round replaces the most frequent pairs at once instead of one pair, which gives the same kind of
 grammar at the speed of array operations.  Rounds go on until no pair is frequent enough for a rule to
-pay or no symbol is left.  Symbols stay below 65,536, so that each takes two bytes.
+pay or no symbol is left: symbols of two bytes end at 65,536; where the vocabulary is too large for
+that, symbols take four bytes and 65,536 rules are made at most.
 
 Defined cases: a null or empty text has only the end id; repeated ids keep one entry per row, in
-the order of their texts; null ids come first; an empty table gives no files and no rows; extra
+the order of a hash of their texts; null ids come first; an empty table gives no files and no rows; extra
 columns are ignored.
 
-Scale: documents are range-partitioned by id (a shuffle of the texts, which are shorter than their
-ids), and a partition writes a file per ``SHARD_IDS`` ids, so memory doesn't depend on the input.
-A hot source doesn't matter, as the id is the only key.  Files get unique names and only those that
+Scale: documents are range-partitioned by id and hash (a shuffle of the texts, which are shorter than
+their ids), and a partition writes a file per ``SHARD_IDS`` ids, so memory doesn't depend on the input.
+A hot source doesn't matter, and rows that share an id are cut by their hashes.  Files get unique names and only those that
 the durable manifest names are read, so a task that ran twice leaves nothing wrong behind.
 """
 
@@ -25,7 +26,8 @@ import io
 import struct
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -40,58 +42,88 @@ END_ID = 0
 SHARD_IDS = 2_000_000
 #: Most tasks that read files.
 READ_TASKS = 20_000
-MAGIC = b"MWRP0001"
+MAGIC = b"MWRP0002"
+_HEAD = "<IIIII"
 #: A rule takes eight bytes and saves two at each place, so a pair that is rarer than LEAST is left alone.
 LEAST = 5
 #: Rules of a round: half of the symbols that are left, RULES_A_ROUND at least.
-RULES_A_ROUND = 64
-_SLOTS = 1 << 18
-_MIX = np.uint32(2654435761)
+RULES_A_ROUND = 512
+#: Symbols take two bytes where the vocabulary leaves room for so many rules, else four.
+ROOM = 4096
+_SLOTS = 20
+_rng = np.random.default_rng(11)
+#: A round hashes pairs with a multiplier of its own, so two pairs that share a slot in one round are apart in the next.
+_ODD = _rng.integers(0, 1 << 63, 64, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
 
 
-def _slot(code: np.ndarray) -> np.ndarray:
-    return (code * _MIX) >> np.uint32(14)
+def width(first_symbol: int) -> int:
+    """Bytes of a symbol in files of a vocabulary with ids below ``first_symbol``."""
+    return 2 if first_symbol + ROOM <= 1 << 16 else 4
 
 
 def compress(ids: np.ndarray, first_symbol: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(symbols, rules [n, 2], lengths that the rules expand to) of an array of ids below ``first_symbol``."""
-    symbols = ids.astype(np.uint32)
+    if len(ids) and int(ids.max()) >= first_symbol:
+        raise ValueError(f"id {int(ids.max())} isn't below {first_symbol}")
+    size = width(first_symbol)
+    most = 1 << 16 if size == 2 else first_symbol + (1 << 16)
+    code_type = np.uint32 if size == 2 else np.uint64
+    bits = code_type(8 * size)
+    symbols = ids.astype(code_type)
     rules: list[np.ndarray] = []
-    lengths = np.ones(1 << 16, np.uint32)
+    lengths = np.ones(most, np.uint32)
     made = first_symbol
-    while len(symbols) > 1 and (left := (1 << 16) - made):
+    while len(symbols) > 1 and (left := most - made):
         room = min(max(RULES_A_ROUND, left // 2), left)
-        code = symbols[:-1] << np.uint32(16) | symbols[1:]
-        usable = (symbols[:-1] != END_ID) & (symbols[1:] != END_ID)
-        counted = np.sort(code[usable])
-        edges = np.flatnonzero(np.concatenate(([True], counted[1:] != counted[:-1], [True]))) if len(counted) else np.zeros(1, int)
-        counts = np.diff(edges)
-        if not len(counts):
+        code = symbols[:-1] << bits | symbols[1:]
+        ends = np.flatnonzero(symbols == END_ID)
+        ends = np.concatenate([ends[ends < len(code)], ends[ends > 0] - 1])  # pairs that hold an end id (some stand twice)
+        odd = _ODD[len(rules) % len(_ODD)].astype(code_type)
+        slot = (code * odd) >> code_type(16 * size - _SLOTS)
+        counts = np.bincount(slot, minlength=1 << _SLOTS)
+        hot = counts >= max(LEAST, int(np.partition(counts, -room)[-room]))
+        some = hot[slot]
+        some[ends] = False
+        at = np.flatnonzero(some)
+        code, slot = code[at], slot[at]
+        # of the pairs in a slot the one that is more frequent among the first two met
+        held, counts = _holders(code, slot)
+        other = held[slot] != code
+        rival, more = _holders(code[other], slot[other])
+        wins = more > counts
+        held[wins], counts[wins] = rival[wins], more[wins]
+        chosen = np.flatnonzero(counts >= LEAST)
+        chosen = chosen[np.argsort(-counts[chosen], kind="stable")[:room]]
+        if not len(chosen):
             break
-        best = np.argsort(-counts, kind="stable")[:room]
-        pairs = counted[edges[:-1]][best[counts[best] >= LEAST]]
-        _, kept = np.unique(_slot(pairs), return_index=True)  # one pair a slot; the more frequent one stays
-        pairs = pairs[np.sort(kept)]
-        if not len(pairs):
-            break
-        held, rule = np.zeros(_SLOTS, np.uint32), np.zeros(_SLOTS, np.uint32)
-        held[_slot(pairs)] = pairs
-        rule[_slot(pairs)] = made + np.arange(len(pairs), dtype=np.uint32)
-        slot = _slot(code)
-        at = np.flatnonzero((held[slot] == code) & usable)
+        pairs = held[chosen]
+        sides = np.stack([pairs >> bits, pairs & code_type((1 << 8 * size) - 1)], 1)
+        rule = np.zeros(1 << _SLOTS, code_type)
+        rule[chosen] = made + np.arange(len(chosen))
+        fits = (held[slot] == code) & (rule[slot] != 0)
+        at, slot = at[fits], slot[fits]
         # of pairs that overlap, every other one from the left
         begins = np.concatenate(([True], np.diff(at) != 1))
         run_start = np.maximum.accumulate(np.where(begins, np.arange(len(at)), 0))
-        at = at[(np.arange(len(at)) - run_start) % 2 == 0]
-        lengths[made : made + len(pairs)] = lengths[pairs >> np.uint32(16)] + lengths[pairs & np.uint32(0xFFFF)]
-        symbols[at] = rule[slot[at]]
+        first = (np.arange(len(at)) - run_start) % 2 == 0
+        at, slot = at[first], slot[first]
+        lengths[made : made + len(chosen)] = lengths[sides[:, 0]] + lengths[sides[:, 1]]
+        symbols[at] = rule[slot]
         stays = np.ones(len(symbols), bool)
         stays[at + 1] = False
         symbols = symbols[stays]
-        rules.append(np.stack([pairs >> np.uint32(16), pairs & np.uint32(0xFFFF)], 1))
-        made += len(pairs)
-    grammar = np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)
-    return symbols.astype("<u2"), grammar.astype("<u2"), lengths[first_symbol:made].astype("<u4")
+        rules.append(sides)
+        made += len(chosen)
+    kind = f"<u{size}"
+    grammar = np.concatenate(rules) if rules else np.zeros((0, 2), code_type)
+    return symbols.astype(kind), grammar.astype(kind), lengths[first_symbol:made].astype("<u4")
+
+
+def _holders(code: np.ndarray, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A pair of each slot and how often it occurs."""
+    held = np.zeros(1 << _SLOTS, code.dtype)
+    held[slot] = code
+    return held, np.bincount(slot[held[slot] == code], minlength=1 << _SLOTS)
 
 
 def expand(symbols: np.ndarray, rules: np.ndarray, first_symbol: int) -> np.ndarray:
@@ -118,35 +150,49 @@ def pack_shard(doc_ids: list[int | None], ids: list[bytes], first_symbol: int) -
     known = np.array([x is not None for x in doc_ids], "u1")
     keys = np.array([x or 0 for x in doc_ids], "<i8")
     out = io.BytesIO()
-    out.write(MAGIC + struct.pack("<IIII", len(ids), len(rules), len(symbols), first_symbol))
+    out.write(MAGIC + struct.pack(_HEAD, len(ids), len(rules), len(symbols), first_symbol, symbols.itemsize))
     for part in (keys, known, sizes, places.astype("<u4"), rules, lengths, symbols):
         out.write(part.tobytes())
     return out.getvalue()
 
 
 class Shard:
-    """A file read back: ``ids(k)`` decodes one document without the others."""
+    """A file read back, by ranges: the directory and the rules at once, a document's symbols when it is asked for.
+
+    ``source``: the file's bytes, or a function that gives so many bytes from a place.
+    """
 
-    def __init__(self, raw: bytes):
-        if raw[:8] != MAGIC:
+    def __init__(self, source: bytes | Callable[[int, int], bytes]):
+        self.read = (lambda at, n: source[at : at + n]) if isinstance(source, bytes) else source
+        at = len(MAGIC) + struct.calcsize(_HEAD)
+        head = self.read(0, at)
+        if head[: len(MAGIC)] != MAGIC:
             raise ValueError("not a token shard")
-        n, r, s, self.first = struct.unpack_from("<IIII", raw, 8)
-        at = 24
+        n, r, s, self.first, self.size = struct.unpack_from(_HEAD, head, len(MAGIC))
         parts = []
-        for kind, count in (("<i8", n), ("u1", n), ("<u4", n), ("<u4", n), ("<u2", 2 * r), ("<u4", r), ("<u2", s)):
-            parts.append(np.frombuffer(raw, kind, count, at))
-            at += parts[-1].nbytes
-        keys, known, self.sizes, self.places, rules, self.lengths, self.symbols = parts
+        sizes = [("<i8", n), ("u1", n), ("<u4", n), ("<u4", n), (f"<u{self.size}", 2 * r), ("<u4", r)]
+        raw, place = self.read(at, sum(np.dtype(kind).itemsize * count for kind, count in sizes)), 0
+        for kind, count in sizes:
+            parts.append(np.frombuffer(raw, kind, count, place))
+            place += parts[-1].nbytes
+        keys, known, self.sizes, self.places, rules, self.lengths = parts
+        self.at, self.n_symbols = at + place, s
         self.doc_ids = [int(k) if ok else None for k, ok in zip(keys, known)]
         self.rules = rules.reshape(-1, 2)
 
+    def symbols(self, start: int, stop: int) -> np.ndarray:
+        return np.frombuffer(self.read(self.at + self.size * start, self.size * (stop - start)), f"<u{self.size}")
+
+    def _own(self, k: int) -> np.ndarray:
+        return self.symbols(int(self.places[k - 1]) if k else 0, int(self.places[k]))
+
     def ids(self, k: int) -> np.ndarray:
-        """The ids of the k-th document."""
-        return expand(self.symbols[self.places[k - 1] if k else 0 : self.places[k]], self.rules, self.first)
+        """The ids of the k-th document; no other document's symbols are read."""
+        return expand(self._own(k), self.rules, self.first)
 
     def window(self, k: int, start: int, stop: int) -> np.ndarray:
         """Ids start to stop of the k-th document; only symbols that reach into the window are expanded."""
-        own = self.symbols[self.places[k - 1] if k else 0 : self.places[k]]
+        own = self._own(k)
         every = np.ones(self.first + len(self.lengths), np.int64)
         every[self.first :] = self.lengths
         upto = np.cumsum(every[own])
@@ -155,7 +201,15 @@ class Shard:
         return expand(own[a:b], self.rules, self.first)[start - before : stop - before]
 
     def all_ids(self) -> list[np.ndarray]:
-        return np.split(expand(self.symbols, self.rules, self.first), np.cumsum(self.sizes[:-1], dtype=np.int64)) if len(self.sizes) else []
+        return np.split(expand(self.symbols(0, self.n_symbols), self.rules, self.first), np.cumsum(self.sizes[:-1], dtype=np.int64)) if len(self.sizes) else []
+
+
+@contextmanager
+def open_shard(path: str) -> Iterator[Shard]:
+    """A file in the shared folder, read by ranges."""
+    system, at = common.filesystem(path)
+    with system.open_input_file(at) as f:
+        yield Shard(lambda place, n: f.read_at(n, place))
 
 
 def write_token_shards(docs: DataFrame, tokenizer: str, folder: str, partitions: int | None = None) -> DataFrame:
@@ -170,7 +224,7 @@ def write_token_shards(docs: DataFrame, tokenizer: str, folder: str, partitions:
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = ChunkEncoder.of(tokenizer, BLANK_WORDS)
-        first = len(encoder.marks)
+        first = encoder.n_ids
         part, seq, start = TaskContext.get().partitionId(), 0, 0
         keys: list = []
         held: list[bytes] = []
@@ -197,11 +251,11 @@ def write_token_shards(docs: DataFrame, tokenizer: str, folder: str, partitions:
         if keys:
             yield flush()
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    order = ["doc_id", "text"]
-    # only ids are sampled for the ranges, so texts don't reach the driver
-    ranged = rows.repartitionByRange(partitions, "doc_id") if partitions else rows.repartitionByRange("doc_id")
-    return common.durable(ranged.sortWithinPartitions(*order).mapInArrow(write, schema), "manifest")
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
+    # only ids and hashes are sampled for the ranges, so texts don't reach the driver
+    ranged = rows.repartitionByRange(partitions, "doc_id", "h") if partitions else rows.repartitionByRange("doc_id", "h")
+    return common.durable(ranged.sortWithinPartitions("doc_id", "h", "text").mapInArrow(write, schema), "manifest")
 
 
 def read_token_shards(manifest: DataFrame) -> DataFrame:
@@ -217,12 +271,10 @@ def read_token_shards(manifest: DataFrame) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, start in zip(batch["path"].to_pylist(), batch["start"].to_pylist()):
-                system, at = common.filesystem(path)
-                with system.open_input_stream(at) as f:
-                    shard = Shard(f.read())
-                sizes = shard.sizes.astype(np.int64)
-                starts = start + np.concatenate(([0], np.cumsum(sizes)[:-1]))
-                crc = [zlib.crc32(x.astype("<u4").tobytes()) for x in shard.all_ids()]
+                with open_shard(path) as shard:
+                    sizes = shard.sizes.astype(np.int64)
+                    starts = start + np.concatenate(([0], np.cumsum(sizes)[:-1]))
+                    crc = [zlib.crc32(x.astype("<u4", copy=False)) for x in shard.all_ids()]
                 yield pa.RecordBatch.from_arrays([pa.array(shard.doc_ids, pa.int64()), pa.array(starts), pa.array(sizes), pa.array(crc, pa.int64())], schema=out)
 
     # a fixed number of tasks, as rows of the manifest are too few for Spark to keep tasks apart by their size

@@ -2,29 +2,52 @@
 
 Both byte-pair vocabularies split a text before merging, and never inside a run of characters
 that are not white space.  So the ids of a text are those of its white-space delimited chunks,
-one after the other, and each distinct chunk has to go through the library only once per worker.
+one after the other, and each distinct chunk has to go through the library only once while it is
+remembered.  A new chunk of plain characters is normalised and split here, by the rules that the
+tokenizer's file states, and the library's merges run on its words; any other chunk, and any text with
+a special token in it, goes through the whole library.
 """
 
 from __future__ import annotations
 
+import codecs
+import json
 import re
+import sys
+from array import array
+from collections.abc import Iterable
+from operator import attrgetter
 
-import numpy as np
+import regex
 from tokenizers import Tokenizer
 
 #: Unicode White_Space, which is what ``\s`` means to the library (Python's has four more).
-WS = "\t-\r \x85\xa0  -     　"
+WS = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Chunks of a tokenizer that drops white space.
 WORDS = f"[^{WS}]+"
 #: Chunks of a tokenizer that gives one leading blank to a word and keeps other white space.
 BLANK_WORDS = f" ?[^{WS}]+|[{WS}]+(?![^{WS}])|[{WS}]+"
 _PYTHON_ONLY_WS = re.compile("[\x1c-\x1f]")
+#: Chunks whose normal form and classes of characters are the same in all versions of Unicode: ASCII, Latin-1 and
+#: Latin Extended-A without the letters whose lower case is longer than themselves.
+_PLAIN = re.compile(" ?[!-~\xa1-\xac\xae-\u012f\u0131-\u0148\u014a-\u017f]+").fullmatch
+#: How GPT-2's byte-level vocabularies split text (a fixed value).
+_BYTE_LEVEL_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def _byte_letters() -> str:
+    """The letter that stands for each byte in byte-level vocabularies: printable ones for themselves, others from U+0100 on."""
+    itself = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = iter(range(0x100, 0x200))
+    return "".join(chr(b if b in itself else next(others)) for b in range(256))
+
+
+_LETTERS = _byte_letters()
 
 
 class ChunkEncoder:
     """Encodes texts to little-endian unsigned 32-bit ids.
 
-    ``literal_specials``: strings of special tokens within a text are ordinary text.
     ``cache``: most distinct chunks remembered (about 200 bytes each).  When they are too many, those
     used since the last time are kept for as long again.
     Chunks of over 64 characters are not remembered.
@@ -32,19 +55,35 @@ class ChunkEncoder:
 
     _own: dict[tuple, ChunkEncoder] = {}
 
-    def __init__(self, path: str, pattern: str, literal_specials: bool = True, cache: int = 1_000_000):
+    def __init__(self, path: str, pattern: str, cache: int = 1_000_000):
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = literal_specials
         self.words_only = pattern == WORDS
         self.find = re.compile(pattern).findall
-        self.known: dict[str, bytes] = {}
+        self.known = _Known(self)
         self.before: dict[str, bytes] = {}
         self.most = cache // 2
-        # ids after which a word ends, or at which a chunk with a leading blank begins
-        vocabulary = self.tokenizer.get_vocab()
-        self.marks = np.zeros(max(vocabulary.values()) + 1, bool)
-        for piece, i in vocabulary.items():
-            self.marks[i] = piece.endswith("</w>") if self.words_only else piece.startswith("\u0120")
+        self.n_ids = max(self.tokenizer.get_vocab(with_added_tokens=True).values()) + 1
+        with open(path, encoding="utf-8") as f:
+            rules = json.load(f)
+        specials = [t["content"] for t in rules["added_tokens"]]
+        self.special = re.compile("|".join(map(re.escape, specials))).search if specials else lambda text: None
+        self.lower, split = self._plain_rules(rules)
+        self.split = regex.compile(split).findall if split else None
+        self.merge = self.tokenizer.model.tokenize
+
+    @staticmethod
+    def _plain_rules(rules: dict) -> tuple[bool, str | None]:
+        """(lower case?, pattern that splits a chunk) where the file's rules are among the known ones, else (False, None)."""
+        steps = (rules["normalizer"] or {}).get("normalizers", [rules["normalizer"]] if rules["normalizer"] else [])
+        kinds = [x["type"] for x in steps]
+        pre = rules["pre_tokenizer"] or {}
+        if not kinds and pre.get("type") == "ByteLevel" and pre["use_regex"] and not pre["add_prefix_space"]:
+            return False, _BYTE_LEVEL_SPLIT
+        if kinds == ["NFC", "Replace", "Lowercase"] and steps[1]["pattern"] == {"Regex": "\\s+"} and steps[1]["content"] == " " and pre.get("type") == "Sequence":
+            cut, letters = [*pre["pretokenizers"], {}, {}][:2]
+            if (cut.get("type"), cut.get("behavior"), cut.get("invert")) == ("Split", "Removed", True) and letters.get("type") == "ByteLevel" and not letters["use_regex"] and not letters["add_prefix_space"]:
+                return True, cut["pattern"]["Regex"]
+        return False, None
 
     @classmethod
     def of(cls, path: str, pattern: str) -> ChunkEncoder:
@@ -58,59 +97,49 @@ class ChunkEncoder:
             return text.split()
         return self.find(text)
 
-    def _marks_in(self, chunk: str) -> int:
-        """How many marked ids the chunk certainly has; 0 if that isn't plain."""
-        if not self.words_only:
-            return int(chunk[0] == " " and len(chunk) > 1)
-        if chunk.isalpha():
-            return 1
-        return 2 * (chunk[-1] in ".,;:!?" and chunk[:-1].isalpha())
-
-    def _learn(self, new: list[str]) -> None:
-        plain: list[tuple[str, int]] = []
-        other: list[str] = []
-        for chunk in new:
-            if n := self._marks_in(chunk):
-                plain.append((chunk, n))
+    def _word(self, word: str, id_of=attrgetter("id")) -> bytes:
+        """The ids of one word, which no rule splits further."""
+        letters = word if word.isascii() and word[0] != " " else codecs.charmap_decode(word.encode(), "strict", _LETTERS)[0]
+        return _bytes(map(id_of, self.merge(letters)))
+
+    def learn(self, chunk: str) -> bytes:
+        """The ids of a chunk that isn't known; from now on it is, if it is short."""
+        if (ids := self.before.get(chunk)) is None:
+            if self.split is None or not _PLAIN(chunk):
+                ids = _bytes(self.tokenizer.encode_batch_fast([chunk], add_special_tokens=False)[0].ids)
             else:
-                other.append(chunk)
-        for at in range(0, len(plain), 1024):
-            some = plain[at : at + 1024]
-            if not self._learn_joined(some):
-                other += [chunk for chunk, _ in some]
-        for at in range(0, len(other), 4096):
-            some = other[at : at + 4096]
-            for chunk, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                self.known[chunk] = np.array(e.ids, "<u4").tobytes()
-
-    def _learn_joined(self, some: list[tuple[str, int]]) -> bool:
-        """One library call for many chunks, told apart by the marked ids; False if those don't add up."""
-        joint = (" " if self.words_only else "").join(chunk for chunk, _ in some)
-        ids = np.array(self.tokenizer.encode_batch_fast([joint], add_special_tokens=False)[0].ids, "<u4")
-        places = np.flatnonzero(self.marks[ids])
-        upto = np.cumsum([n for _, n in some])
-        if len(places) != upto[-1]:
-            return False
-        ends = places[upto - 1] + 1 if self.words_only else np.append(places[1:], len(ids))
-        raw, start = ids.tobytes(), 0
-        for (chunk, _), end in zip(some, (ends * 4).tolist()):
-            self.known[chunk] = raw[start:end]
-            start = end
-        return start == len(raw)
+                plain = chunk.lower() if self.lower else chunk
+                if (plain if plain[0] != " " else plain[1:]).isalpha() or len(words := self.split(plain)) == 1:
+                    ids = self._word(plain) if plain == chunk else self.known[plain]
+                else:
+                    ids = b"".join([self.known[w] for w in words])
+        if len(chunk) <= 64:
+            self.known[chunk] = ids
+        return ids
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Null is an empty text."""
-        known = self.known
-        if len(known) > self.most:
-            self.before, self.known = known, (known := {})
-        split = [self.chunks(t) if t else [] for t in texts]
-        new = {c for chunks in split for c in chunks if c not in known}
-        old = self.before
-        known.update({c: old[c] for c in new if c in old})
-        self._learn([c for c in new if c not in old])
-        get = known.__getitem__
-        out = [b"".join(map(get, chunks)) for chunks in split]
-        for chunk in new:
-            if len(chunk) > 64:
-                del known[chunk]
-        return out
+        if len(self.known) > self.most:
+            self.before, self.known = self.known, _Known(self)
+        get = self.known.__getitem__
+        return [b"".join(map(get, self.chunks(t))) if not self.special(t) else self._whole(t) for t in (t or "" for t in texts)]
+
+    def _whole(self, text: str) -> bytes:
+        return _bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+
+class _Known(dict):
+    """Chunks and their ids; what is missing is learnt."""
+
+    def __init__(self, encoder: ChunkEncoder):
+        self.encoder = encoder
+
+    def __missing__(self, chunk: str) -> bytes:
+        return self.encoder.learn(chunk)
+
+
+def _bytes(ids: Iterable[int]) -> bytes:
+    own = array("I", ids)
+    if sys.byteorder == "big":
+        own.byteswap()
+    return own.tobytes()
