@@ -36,6 +36,8 @@ from .vectors import usable
 
 TABLES, CORNERS, PROBES = 8, 3, 3
 BLOCK = 512
+#: Shorter vectors are padded with zeros, as random signs and Hadamard transforms of few components give few rotations.
+LEAST_WIDTH = 16
 SEED = 611
 _COMBOS = np.array(list(itertools.product(range(3), repeat=CORNERS)))
 
@@ -52,7 +54,7 @@ def hadamard(x: np.ndarray) -> np.ndarray:
 
 def bucket_keys(vectors: np.ndarray) -> np.ndarray:
     """[rows, TABLES * PROBES] keys; the columns of a table are neighbours, the best bucket first."""
-    width = 1 << max(1, (vectors.shape[1] - 1).bit_length())
+    width = max(LEAST_WIDTH, 1 << (vectors.shape[1] - 1).bit_length())
     x = np.zeros((len(vectors), width))
     x[:, : vectors.shape[1]] = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
     signs = np.random.default_rng([SEED, width]).choice([-1.0, 1.0], (TABLES, CORNERS, 3, width))
@@ -66,8 +68,6 @@ def bucket_keys(vectors: np.ndarray) -> np.ndarray:
                 y = hadamard(y * s) / np.sqrt(width)
             size = np.abs(y)
             top = np.argsort(-size, axis=1, kind="stable")[:, :3]
-            if top.shape[1] < 3:
-                top = np.pad(top, ((0, 0), (0, 3 - top.shape[1])), mode="edge")
             codes.append(2 * top + (y[row, top] < 0))
             short.append((size[row, top[:, :1]] - size[row, top]) ** 2)
         cost = sum(short[c][:, _COMBOS[:, c]] for c in range(CORNERS))
@@ -165,10 +165,14 @@ def compare(threshold: float):
 def near_duplicates(embeddings: DataFrame, threshold: float = 0.98) -> DataFrame:
     """vec_id, n_links, component_id, kept, one row per row of ``embeddings``."""
     own = usable(embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", "label"))
-    own = own.withColumn("c", F.when(F.col("ok") & F.col("label").isNotNull(), F.xxhash64("label", F.size("embedding"), "embedding")))
-    rows = common.spread(own)
-    classes = rows.where("c IS NOT NULL").groupBy("c").agg(F.count(F.lit(1)).alias("m"), F.min("vec_id").alias("rep"), F.first("label").alias("label"), F.first("embedding").alias("embedding"))
-    classes = common.durable(classes, "classes")
+    for salt in range(8):
+        rows = common.spread(own.withColumn("c", F.when(F.col("ok") & F.col("label").isNotNull(), F.xxhash64(F.lit(salt), "label", F.size("embedding"), "embedding"))))
+        grouped = rows.where("c IS NOT NULL").groupBy("c", "label", "embedding").agg(F.count(F.lit(1)).alias("m"), F.min("vec_id").alias("rep"))
+        classes = common.durable(grouped, "classes")
+        # classes are grouped by the vectors themselves; if two share a hash, another one names them
+        if classes.groupBy("c").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+            break
+        common.drop(classes)
     keyed = common.durable(_keyed(classes), "keyed")
     each = keyed.join(classes.select("c", F.xxhash64("label", F.size("embedding")).alias("l")), "c").select("c", "l", F.explode("keys").alias("key"))
     full = each.groupBy("l", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("l").alias("l_"), F.col("key").alias("key_"), F.ceil(F.col("n") / BLOCK).alias("blocks"))
