@@ -7,6 +7,7 @@ import math
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 import pyarrow as pa
@@ -16,16 +17,21 @@ from pyspark.sql import functions as F
 
 #: A table is broadcast only if it was counted and has at most so many (narrow) rows.
 BROADCAST_ROWS = 50_000
+#: Rows sent to Python at once, and bytes of a row group of durable tables.
+BATCH, ROW_GROUP = 1024, 16 << 20
+_BATCH, _CLEANUP = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _made: list[tuple[SparkSession, str]] = []
 
 
 def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the cluster names none (tests on one machine) a temporary folder is set.
+    Only where none is named and all runs on this machine (tests) a temporary folder is set.
     """
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir isn't set: it names the folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="modelweave-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root if "://" in root or root.startswith("file:") else "file://" + root
@@ -56,13 +62,45 @@ def _clean() -> None:
 def durable(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` once to the shared folder and return the written table.
 
-    This cuts the lineage: later reads don't depend on executors that may be lost.
+    This cuts the lineage: later reads don't depend on executors that may be lost.  The shuffle files
+    of the step are released when it is written; ``drop`` deletes the table.
     """
     spark = df.sparkSession
     path = shared_path(spark, tag)
-    df.write.parquet(path)
-    spark.sparkContext._jvm.System.gc()  # lets Spark's cleaner drop the shuffle files of finished steps
-    return spark.read.schema(df.schema).parquet(path)
+    with settings(spark, {_CLEANUP: "true"}):
+        df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.shared_path = path
+    return table
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete tables of ``durable`` that nothing reads any more."""
+    for table in tables:
+        remove(table.sparkSession, table.shared_path)
+        _made.remove((table.sparkSession, table.shared_path))
+
+
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Settings of the session that hold for a while."""
+    before = {k: spark.conf.get(k) for k in values}
+    try:
+        for k, v in values.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, whose session from now on sends at most BATCH rows at once to Python: rows may hold long texts, and
+    each task needs a batch several times over, in the JVM and in Python."""
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(_BATCH)) <= BATCH:
+        conf.set(_BATCH, str(BATCH))
+    return df
 
 
 def filesystem(url: str) -> tuple[pafs.FileSystem, str]:
@@ -87,14 +125,19 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBa
             yield batch.slice(at, rows)
 
 
-def map_arrow(df: DataFrame, f: Callable, schema: str, rows: int = 256) -> DataFrame:
-    """``mapInArrow`` over slices of at most ``rows`` rows; ``f`` maps a batch to a dict of columns."""
+def map_arrow(df: DataFrame, f: Callable, schema: str, rows: int = 256, done: Callable[[], None] | None = None) -> DataFrame:
+    """``mapInArrow`` over slices of at most ``rows`` rows; ``f`` maps a batch to a dict of columns.
+
+    ``done`` is called at the end of a task, as Python workers live on after it with all that they remember."""
     out = pa_schema(schema)
+    small_batches(df)
 
     def run(batches):
         for batch in slices(batches, rows):
             columns = f(batch)
             yield pa.RecordBatch.from_arrays([pa.array(columns[x.name], x.type) for x in out], schema=out)
+        if done:
+            done()
 
     return df.mapInArrow(run, schema)
 

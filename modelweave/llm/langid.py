@@ -20,11 +20,12 @@ is per language; everything else is a map over all rows without shuffle.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -175,31 +176,42 @@ def held_out(doc_id: Column) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string")), F.lit(4)) == 2
 
 
-def predict(docs: DataFrame, model: LanguageModel, sharpness: float = SHARPNESS) -> DataFrame:
-    """All columns of ``docs`` but those that clash, with lang_pred, score and bits (per symbol, by the winner)."""
-    spark = docs.sparkSession
+def predictor(spark: SparkSession, model: LanguageModel, sharpness: float = SHARPNESS) -> Callable[[Column], Column]:
+    """A function of a text column: struct of lang_pred, score and bits (per symbol, by the winner).
+
+    Only texts are sent to Python, and only these three values come back."""
     shared = spark.sparkContext.broadcast(model)  # languages * SYMBOLS states
-    added = ("lang_pred", "score", "bits")
-    kept = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c.lower() not in added))
-    names = kept.columns
-    schema = kept.select("*", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(0.0).alias("bits")).schema
 
-    def run(batches):
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = shared.value
-        for batch in common.slices(batches, 1024):
-            bits, has = own.bits(batch["text"].to_pylist())
-            if own.languages:
-                best = bits.argmin(1)
-                low = bits[np.arange(len(best)), best]
-                share = 1 / np.exp2(-sharpness * (bits - low[:, None])).sum(1)
-                lang = [own.languages[k] if ok else UNDETERMINED for k, ok in zip(best, has)]
-            else:
-                low = share = np.zeros(batch.num_rows)
-                lang = [UNDETERMINED] * batch.num_rows
-                has = np.zeros(batch.num_rows, bool)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(np.where(has, share, 0.0)), pa.array(np.where(has, low, 0.0))], names=[*names, *added])
+        for texts in batches:
+            parts = [judge(own, texts.slice(at, 1024)) for at in range(0, len(texts), 1024)]
+            yield pa.concat_arrays(parts) if parts else pa.array([], kind)
+
+    def judge(own: LanguageModel, texts: pa.Array) -> pa.Array:
+        bits, has = own.bits(texts.to_pylist())
+        if own.languages:
+            best = bits.argmin(1)
+            low = bits[np.arange(len(best)), best]
+            share = 1 / np.exp2(-sharpness * (bits - low[:, None])).sum(1)
+            lang = [own.languages[k] if ok else UNDETERMINED for k, ok in zip(best, has)]
+        else:
+            low = share = np.zeros(len(texts))
+            lang = [UNDETERMINED] * len(texts)
+            has = np.zeros(len(texts), bool)
+        return pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(np.where(has, share, 0.0)), pa.array(np.where(has, low, 0.0))], fields=list(kind))
 
-    return kept.mapInArrow(run, schema)
+    kind = pa.struct([("lang_pred", pa.string()), ("score", pa.float64()), ("bits", pa.float64())])
+    return F.arrow_udf(run, "lang_pred string, score double, bits double")
+
+
+def predict(docs: DataFrame, model: LanguageModel, sharpness: float = SHARPNESS) -> DataFrame:
+    """All columns of ``docs`` but those that clash, with lang_pred, score and bits (per symbol, by the winner)."""
+    added = ("lang_pred", "score", "bits")
+    own = predictor(docs.sparkSession, model, sharpness)
+    kept = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in added]
+    found = common.small_batches(docs).select(*kept, own(F.col("text")).alias("lang_pred"))
+    return found.select(*kept, *(F.col(f"lang_pred.{c}").alias(c) for c in added))
 
 
 def identify(docs: DataFrame) -> DataFrame:
@@ -215,7 +227,5 @@ def known_language(docs: DataFrame, most_bits: float = MOST_BITS) -> DataFrame:
     and those of which no language explains the letters with at most ``most_bits`` bits a symbol."""
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
     model = fit(sample(narrow.where(~F.coalesce(held_out(F.col("doc_id")), F.lit(False)))))
-    place = docs.columns.index("text")
-    safe = docs.toDF(*(f"c{k}" if k != place else "text" for k in range(len(docs.columns))))
-    good = predict(safe, model).where((F.col("lang_pred") != UNDETERMINED) & (F.col("bits") <= most_bits))
-    return good.drop("lang_pred", "score", "bits").toDF(*docs.columns)
+    own = predictor(docs.sparkSession, model)(F.col("text"))
+    return common.small_batches(docs).where((own["lang_pred"] != UNDETERMINED) & (own["bits"] <= most_bits))

@@ -84,6 +84,10 @@ def shingles(text: str | None, size: int = WORDS) -> np.ndarray:
     return np.unique(joint)
 
 
+def _forget() -> None:
+    _state.get("words", {}).clear()
+
+
 def signatures(sets: list[np.ndarray]) -> np.ndarray:
     """[sets, BANDS * ROWS] coordinates of non-empty sets."""
     first, windows = _permutations()
@@ -125,7 +129,7 @@ def describe(docs: DataFrame) -> DataFrame:
             bands[k] = row
         return {"doc_id": batch["doc_id"], "t": batch["t"], "n": [len(s) for s in sets], "digest": [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], "bands": bands}
 
-    return common.map_arrow(_texts(docs), run, "doc_id long, t long, n long, digest binary, bands array<long>")
+    return common.map_arrow(_texts(docs), run, "doc_id long, t long, n long, digest binary, bands array<long>", done=_forget)
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -138,7 +142,7 @@ def _sets(docs: DataFrame) -> DataFrame:
     def run(batch: pa.RecordBatch) -> dict:
         return {"id": batch["id"], "s": [shingles(t).view(np.int64) for t in batch["text"].to_pylist()]}
 
-    return common.map_arrow(docs, run, "id long, s array<long>")
+    return common.map_arrow(docs, run, "id long, s array<long>", done=_forget)
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
