@@ -60,10 +60,9 @@ def _sorted(df):
 @pytest.mark.parametrize("path, pattern", [(WORD, WORDS), (BYTE, BLANK_WORDS)])
 def test_chunks_give_the_librarys_ids(path, pattern):
     library = Tokenizer.from_file(path)
-    library.encode_special_tokens = True
     rng = random.Random(3)
     texts = [t or "" for t in _texts()] + ["".join(rng.choice("aB'st ll.,\n\t \xa0\x85\x1c1２é́İΣ<|endoftext|>") for _ in range(40)) for _ in range(400)]
-    texts += ["<|endoftext|>", "a <|endoftext|> b", "it's they'LL", "   "]
+    texts += ["<|endoftext|>", "a <|endoftext|> b", "a  <|endoftext|>  b", "<|startoftext|>x", "it's they'LL", "   "]
     own = ChunkEncoder(path, pattern, cache=500)
     for t, e, got in zip(texts, library.encode_batch(texts, add_special_tokens=False), own.encode(texts)):
         assert np.frombuffer(got, "<u4").tolist() == e.ids, t
@@ -71,7 +70,6 @@ def test_chunks_give_the_librarys_ids(path, pattern):
 
 def test_packing(docs, rows, none):
     library = Tokenizer.from_file(WORD)
-    library.encode_special_tokens = True
     got = packing.pack_documents(docs, WORD).collect()
     want = Counter()
     for i, t, *_ in rows:
@@ -118,16 +116,48 @@ def test_best_fit_is_tightest():
 
 def test_token_shards(docs, rows, none):
     library = Tokenizer.from_file(BYTE)
-    library.encode_special_tokens = True
-    want, at = [], 0
-    for i, t, *_ in sorted(rows, key=lambda r: (r[0], r[1] or "")):
+    got = sorted(repair.token_shards(docs, BYTE).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == sorted(r[0] for r in rows)
+    want = Counter()
+    for i, t, *_ in rows:
         ids = library.encode(t or "", add_special_tokens=False).ids + [0]
-        want.append((i, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
-        at += len(ids)
-    assert _sorted(repair.token_shards(docs, BYTE)) == sorted(want, key=str)
+        want[i, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())] += 1
+    assert Counter((r.doc_id, r.n_tokens, r.ids_crc32) for r in got) == want
+    assert [r.start for r in got] == [sum(r.n_tokens for r in got[:k]) for k in range(len(got))]
     assert repair.token_shards(none, BYTE).count() == 0
 
 
+def test_null_ids_are_packed_and_written(spark):
+    rows = [(None, f"text {k} " * (k + 1), "x") for k in range(9)] + [(1, None, "x"), (1, None, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, piece string")
+    shards = sorted(repair.token_shards(df, BYTE).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in shards] == [None] * 9 + [1, 1]
+    assert Counter(r.doc_id for r in packing.pack_documents(df, WORD).collect()) == {None: 9, 1: 2}
+    got = _sorted(substrings.remove_repeats(df, 120).select("doc_id", "n_bytes"))
+    assert got == sorted(((i, len(t or "")) for i, t, _ in rows), key=str)
+
+
+@pytest.mark.parametrize("first", [50_257, 65_000, 70_001, 1 << 20])
+def test_grammar_of_large_vocabularies(first, tmp_path):
+    rng = np.random.default_rng(4)
+    docs = [np.append(rng.choice([first - 1, 5, first // 2, 9, min(first - 1, 65_536)], 300), 0).astype("<u4") for _ in range(40)]
+    raw = repair.pack_shard([*range(40)], [d.tobytes() for d in docs], first)
+    (tmp_path / "x.rp").write_bytes(raw)
+    with repair.open_shard(f"file://{tmp_path}/x.rp") as shard:
+        assert len(shard.rules) and len(raw) < 4 * sum(map(len, docs))
+        assert all((shard.ids(k) == d).all() for k, d in enumerate(docs))
+    with pytest.raises(ValueError):
+        repair.compress(np.array([first], "<u4"), first)
+
+
+def test_a_document_is_read_without_the_others():
+    docs = [np.append(np.arange(1, 3000) + 3000 * k, 0).astype("<u4") for k in range(10)]
+    raw = repair.pack_shard([*range(10)], [d.tobytes() for d in docs], 50_257)
+    asked = []
+    shard = repair.Shard(lambda at, n: asked.append(n) or raw[at : at + n])
+    assert (shard.ids(7) == docs[7]).all() and asked[-1] < len(raw) / 9 and len(asked) == 3
+
+
 def test_grammar_round_trip_and_random_access():
     rng = np.random.default_rng(0)
     docs = [np.append(rng.zipf(1.3, rng.integers(0, 900)) % 500 + 1, 0).astype("<u4") for _ in range(60)]
@@ -459,6 +489,19 @@ def test_embedding_duplicates(spark, monkeypatch):
     assert len(links) > 200 and crosspolytope.near_duplicates(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("width", [1, 2, 3])
+def test_embedding_duplicates_of_few_components(spark, width):
+    turn = np.arange(60) * 2 * np.pi / 60
+    v = np.stack([np.cos(turn), np.sin(turn), np.full(60, 0.3)], 1)[:, :width]
+    rows = [(k, v[k].tolist(), k % 2 if width == 1 else 0) for k in range(60)] + [(100 + k, v[k].tolist(), 200 + k) for k in range(60)]
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    label = np.array([r[2] for r in rows[:60]])
+    close = (unit @ unit.T >= 0.98) & (label[:, None] == label) & ~np.eye(60, dtype=bool)
+    got = {r.vec_id: r.n_links for r in crosspolytope.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert [got[k] for k in range(60)] == close.sum(1).tolist()
+    assert not any(got[100 + k] for k in range(60))
+
+
 def test_nearest(spark, monkeypatch):
     monkeypatch.setattr(nndescent, "BLOCK", 64)
     monkeypatch.setattr(nndescent, "ITERATIONS", 2)
