@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from dataclasses import dataclass
 from typing import Any
 
@@ -68,10 +69,17 @@ def decode(node: dict) -> Any:
     if kind == "packageableElementPtr":
         return Path(node["fullPath"])
     if kind in LITERALS:
-        return Lit(node["values"][0]) if len(node["values"]) == 1 else Many(tuple(Lit(v) for v in node["values"]))
+        values = [_value(kind, v) for v in node["values"]]
+        return Lit(values[0]) if len(values) == 1 else Many(tuple(map(Lit, values)))
     raise ValueError(f"unknown expression: {kind}")
 
 
+def _value(kind: str, value: Any) -> Any:
+    if kind == "strictDate":
+        return dt.date.fromisoformat(value.removeprefix("%"))
+    return dt.datetime.fromisoformat(value.removeprefix("%")) if kind == "dateTime" else value
+
+
 def _only(body: list[dict]) -> Any:
     if len(body) != 1:
         raise ValueError("only bodies of a single expression are supported")
@@ -100,8 +108,8 @@ def encode(node: Any) -> dict:
         case Path(name):
             return {"_type": "packageableElementPtr", "fullPath": name}
         case Lit(value):
-            kind = {bool: "boolean", int: "integer", float: "float", str: "string"}[type(value)]
-            return {"_type": kind, "multiplicity": one, "values": [value]}
+            kind = {bool: "boolean", int: "integer", float: "float", str: "string", dt.date: "strictDate", dt.datetime: "dateTime"}[type(value)]
+            return {"_type": kind, "multiplicity": one, "values": [value.isoformat() if isinstance(value, dt.date) else value]}
     raise ValueError(f"not a node: {node!r}")
 
 

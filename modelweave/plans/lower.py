@@ -6,6 +6,7 @@ are guarded, so that they are false and never null; derived properties are expan
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 from dataclasses import dataclass
 from typing import Any
@@ -35,7 +36,10 @@ class ColumnTarget:
     starts = staticmethod(lambda c, prefix: c.startswith(prefix))
     concat = staticmethod(lambda parts: F.concat(*parts))
     substring = staticmethod(F.substring)
+    output = staticmethod(lambda name: F.col(f"`{name}`"))
     years = staticmethod(lambda a, b: F.year(b) - F.year(a))
+    months = staticmethod(lambda a, b: (F.year(b) - F.year(a)) * 12 + (F.month(b) - F.month(a)))
+    days = staticmethod(lambda a, b: F.date_diff(b, a))
     today = staticmethod(F.current_date)
     average = staticmethod(lambda c: F.avg(c.cast("double")))
     count = staticmethod(F.count)
@@ -48,6 +52,18 @@ class ColumnTarget:
         return {"+": a + b, "-": a - b, "*": a * b}[symbol]
 
 
+class Loose(str):
+    """SQL text whose outermost operator isn't in parentheses: it gets them as an operand."""
+
+
+class Difference(Loose):
+    """A difference, which binds tighter than a comparison."""
+
+
+def _tight(c: str) -> str:
+    return f"({c})" if isinstance(c, Loose) else c
+
+
 @dataclass
 class SqlTarget:
     """SQL text: of a query (lower case, columns of an alias) or of a rule (upper case)."""
@@ -60,19 +76,26 @@ class SqlTarget:
     def column(self, name: str) -> str:
         return f"`{self.alias}`.{name}" if self.alias else name
 
+    def output(self, name: str) -> str:
+        return f"`{self.alias}`.`{name}`" if self.alias else f"`{name}`"
+
     def lit(self, value: Any) -> str:
         if isinstance(value, bool):
             return str(value).lower()
+        if isinstance(value, dt.datetime):
+            return f"timestamp '{value.isoformat(sep=' ')}'"
+        if isinstance(value, dt.date):
+            return f"date '{value.isoformat()}'"
         return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'" if isinstance(value, str) else str(value)
 
     def is_null(self, c):
-        return f"{c} {self.word('is null')}"
+        return Loose(f"{_tight(c)} {self.word('is null')}")
 
     def not_null(self, c):
-        return f"{c} {self.word('is not null')}"
+        return Loose(f"{_tight(c)} {self.word('is not null')}")
 
     def negate(self, c):
-        return f"{self.word('not')} {c}"
+        return Loose(f"{self.word('not')} {c}")
 
     def both(self, a, b):
         return f"({a} {self.word('and')} {b})"
@@ -81,7 +104,7 @@ class SqlTarget:
         return f"({a} {self.word('or')} {b})"
 
     def within(self, c, values):
-        return f"{c} {self.word('in')} ({', '.join(map(self.lit, values))})"
+        return Loose(f"{_tight(c)} {self.word('in')} ({', '.join(map(self.lit, values))})")
 
     def each_within(self, c, values):
         return f"forall({c}, x -> {self.within('x', values)})"
@@ -99,13 +122,19 @@ class SqlTarget:
         return f"substring({c}, {start}, {n})"
 
     def years(self, a, b):
-        return f"year({b}) - year({a})"
+        return Difference(f"year({b}) - year({a})")
+
+    def months(self, a, b):
+        return f"((year({b}) - year({a})) * 12 + (month({b}) - month({a})))"
+
+    def days(self, a, b):
+        return f"datediff({b}, {a})"
 
     def today(self):
         return "current_date"
 
     def average(self, c):
-        return f"avg(1.0 * {c})"
+        return f"avg(1.0 * {_tight(c)})"
 
     def count(self, c):
         return f"count({c})"
@@ -114,10 +143,11 @@ class SqlTarget:
         return f"{name}({c})"
 
     def compare(self, symbol, a, b):
-        return f"{a} {'=' if symbol == '==' else symbol} {b}"
+        a, b = (c if isinstance(c, Difference) else _tight(c) for c in (a, b))
+        return Loose(f"{a} {'=' if symbol == '==' else symbol} {b}")
 
     def arithmetic(self, symbol, a, b):
-        return f"({a} {symbol} {b})"
+        return f"({_tight(a)} {symbol} {_tight(b)})"
 
 
 @dataclass(frozen=True)
@@ -137,8 +167,13 @@ class Scope:
     names: dict[str, str]
     enums: dict[str, dict[str, list[str]]]
     expanding: tuple[str, ...] = ()
+    row: dict[str, Typed] | None = None  # after a projection or grouping: the columns that came out
 
+    def after(self, outputs: dict[str, Typed]) -> Scope:
+        return Scope(self.model, self.class_path, self.names, self.enums, (), outputs)
 
+
+_UNITS = {"YEARS": "years", "MONTHS": "months", "DAYS": "days"}
 _COMPARE = {"greaterThan": ">", "greaterThanEqual": ">=", "lessThan": "<", "lessThanEqual": "<="}
 
 
@@ -204,9 +239,9 @@ def lower(node: Any, scope: Scope, target: Any) -> Typed:
                 out = target.arithmetic("-" if name == "minus" else "*", out, s.value)
             return Typed(out, any(s.optional for s in sides))
         case Call("dateDiff", (a, b, Prop(Path("DurationUnit"), unit))):
-            if unit != "YEARS":
+            if unit not in _UNITS:
                 raise ValueError(f"dateDiff in {unit} is not supported")
-            return Typed(target.years(value(a).value, value(b).value))
+            return Typed(getattr(target, _UNITS[unit])(value(a).value, value(b).value))
         case Call(name, _):
             raise ValueError(f"unknown function: {name}")
     raise ValueError(f"not a value: {node!r}")
@@ -228,6 +263,11 @@ def _sources(node: Any, values: list, scope: Scope) -> list:
 
 
 def _property(name: str, scope: Scope, target: Any) -> Typed:
+    if scope.row is not None:
+        if name not in scope.row:
+            raise ValueError(f"there is no column {name} at this step")
+        own = scope.row[name]
+        return Typed(target.output(name), own.optional, own.text, own.many)
     for p in scope.model.all_properties(scope.class_path):
         if p.name == name:
             if name not in scope.names:
@@ -311,6 +351,15 @@ def _order(node: Any) -> list[tuple[str, bool]]:
     return [(_literal(c.args[0]), c.name == "desc") for c in _items(node) if isinstance(c, Call) and c.name in ("asc", "desc")]
 
 
+def _outputs(name: str, args: tuple, scope: Scope, target: Any) -> tuple[dict[str, Typed], int]:
+    """The columns that a projection or grouping gives, and how many of them are keys."""
+    if name == "project":
+        return {_literal(n): lower(e, scope, target) for e, n in zip(_items(args[0]), _items(args[1]), strict=True)}, 0
+    keys, aggregates, names = _items(args[0]), _items(args[1]), [_literal(n) for n in _items(args[2])]
+    values = [lower(k, scope, target) for k in keys] + [Typed(_aggregate(a, scope, target), optional=True) for a in aggregates]
+    return dict(zip(names, values, strict=True)), len(keys)
+
+
 def to_frame(query: Query, scope: Scope, source: Callable[[], DataFrame], extra: list[Any] = ()) -> DataFrame:
     """Build the DataFrame; filters, pruning and top-k are left to the optimiser."""
     target = ColumnTarget()
@@ -318,38 +367,42 @@ def to_frame(query: Query, scope: Scope, source: Callable[[], DataFrame], extra:
     for condition in [*query.filters, *extra]:
         df = df.filter(lower(condition, scope, target).value)
     for name, args in query.steps:
-        if name == "project":
-            df = df.select(*(lower(e, scope, target).value.alias(_literal(n)) for e, n in zip(_items(args[0]), _items(args[1]), strict=True)))
-        elif name == "groupBy":
-            keys, aggregates, names = _items(args[0]), _items(args[1]), [_literal(n) for n in _items(args[2])]
-            grouped = df.groupBy(*(lower(k, scope, target).value.alias(n) for k, n in zip(keys, names)))
-            df = grouped.agg(*(_aggregate(a, scope, target).alias(n) for a, n in zip(aggregates, names[len(keys) :], strict=True)))
+        if name in ("project", "groupBy"):
+            outputs, keys = _outputs(name, args, scope, target)
+            columns = [v.value.alias(n) for n, v in outputs.items()]
+            df = df.select(*columns) if name == "project" else df.groupBy(*columns[:keys]).agg(*columns[keys:])
+            scope = scope.after(outputs)
+        elif name == "filter":
+            df = df.filter(lower(args[0], scope, target).value)
         elif name == "sort":
             df = df.orderBy(*((F.desc if down else F.asc)(f"`{c}`") for c, down in _order(args[0])))
-        elif name == "take":
-            df = df.limit(_literal(args[0]))
         else:
-            raise ValueError("filters after a projection are not supported")
+            df = df.limit(_literal(args[0]))
     return df
 
 
 def to_sql(query: Query, scope: Scope, table: str, extra: list[Any] = ()) -> str:
-    """The same query as one SQL statement."""
+    """The same query as one SQL statement; a step that can't join the ones before it reads them as a subquery."""
     target = SqlTarget("root")
-    columns, group, order, limit = "*", "", "", ""
-    for name, args in query.steps:
-        if name == "project":
-            columns = ", ".join(f"{lower(e, scope, target).value} as `{_literal(n)}`" for e, n in zip(_items(args[0]), _items(args[1]), strict=True))
-        elif name == "groupBy":
-            keys, names = _items(args[0]), [_literal(n) for n in _items(args[2])]
-            values = [lower(k, scope, target).value for k in keys] + [_aggregate(a, scope, target) for a in _items(args[1])]
-            columns = ", ".join(f"{v} as `{n}`" for v, n in zip(values, names, strict=True))
-            group = " group by " + ", ".join(f"`{n}`" for n in names[: len(keys)])
+    source, columns, where, group, order, limit = table, "*", [], "", "", ""
+
+    def statement() -> str:
+        return f"select {columns} from {source} as `root`" + (f" where {' and '.join(where)}" if where else "") + group + order + limit
+
+    for name, args in [*(("filter", (f,)) for f in [*query.filters, *extra]), *query.steps]:
+        ended = {"filter": columns != "*" or order or limit, "project": columns != "*" or order or limit, "groupBy": columns != "*" or order or limit, "sort": limit, "take": limit}[name]
+        if ended:
+            source, columns, where, group, order, limit = f"({statement()})", "*", [], "", "", ""
+        if name == "filter":
+            where.append(str(lower(args[0], scope, target).value))
+        elif name in ("project", "groupBy"):
+            outputs, keys = _outputs(name, args, scope, target)
+            columns = ", ".join(f"{v.value} as `{n}`" for n, v in outputs.items())
+            if name == "groupBy":
+                group = " group by " + ", ".join(f"`{n}`" for n in [*outputs][:keys])
+            scope = scope.after(outputs)
         elif name == "sort":
             order = " order by " + ", ".join(f"`{c}` {'desc' if down else 'asc'}" for c, down in _order(args[0]))
-        elif name == "take":
-            limit = f" limit {_literal(args[0])}"
         else:
-            raise ValueError("filters after a projection are not supported")
-    where = " and ".join(str(lower(f, scope, target).value) for f in [*query.filters, *extra])
-    return f"select {columns} from {table} as `root`" + (f" where {where}" if where else "") + group + order + limit
+            limit = f" limit {_literal(args[0])}"
+    return statement()
