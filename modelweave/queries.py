@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import atexit
+import tempfile
+import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import scenarios
 from .operators import codegen, frames
 from .operators.model import Model, Resolver
 from .sources import tables as tables_io
@@ -46,8 +51,8 @@ def _run(path: str, **options) -> Callable[[SparkSession, str], DataFrame]:
 
 def _raw(spark: SparkSession, sf_dir: str, mapping: str) -> DataFrame:
     """A table with the names of its class, as raw data come."""
-    back = {c: p for p, c in model().transformations(_MAPPING + mapping).items()}
-    return frames.transform(resolver(spark, sf_dir)(model().table(_MAPPING + mapping)), back).select(*back.values())
+    names = model().transformations(_MAPPING + mapping)
+    return resolver(spark, sf_dir)(model().table(_MAPPING + mapping)).select(*(F.col(c).alias(p) for p, c in names.items()))
 
 
 def _validated(spark: SparkSession, sf_dir: str, mapping: str = "customer") -> DataFrame:
@@ -104,12 +109,28 @@ def _codegen_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codegen.parse_model(text).query(spark, "trade::generated::mapping::Nation", resolver(spark, sf_dir))
 
 
-def _shared(spark: SparkSession, tag: str) -> str:
-    import tempfile
-    import uuid
+_made: list[tuple[SparkSession, str]] = []
+
 
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.gettempdir()
-    return f"{root}/{tag}-{uuid.uuid4().hex}"
+def _shared(spark: SparkSession, tag: str) -> str:
+    """A new path in the folder that driver and executors share; removed when the driver ends."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir isn't set: it names the folder that driver and executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="modelweave-")
+    _made.append((spark, path := f"{root.rstrip('/')}/{tag}-{uuid.uuid4().hex}"))
+    return path
+
+
+@atexit.register
+def _clean() -> None:
+    for spark, path in _made:
+        try:
+            target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+        except Exception:  # the session is gone: nothing is left to remove it with
+            return
 
 
 def _json_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,12 +140,18 @@ def _json_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _create_append(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = _MAPPING + "nation"
-    spark.sql("CREATE DATABASE IF NOT EXISTS trade")
-    spark.sql("DROP TABLE IF EXISTS trade.nation")
-    name = model().create_table(spark, own, _shared(spark, "table"))
-    tables_io.append(model().transform(_raw(spark, sf_dir, "nation"), own), name)
-    return spark.table(name)
+    """The model with the mapping's table in a database of its own, so that nobody's table is touched."""
+    own, database = _MAPPING + "nation", f"modelweave_{uuid.uuid4().hex}"
+    entities = dict(model().entities)
+    entities[own] = replace(entities[own], schema=database)
+    apart = Model(entities)
+    spark.sql(f"CREATE DATABASE {database}")
+    name = apart.create_table(spark, own, _shared(spark, "table"))
+    tables_io.append(apart.transform(_raw(spark, sf_dir, "nation"), own), name)
+    rows = spark.table(name)
+    found = spark.createDataFrame(rows.collect(), rows.schema)  # 25 rows: a nation each
+    spark.sql(f"DROP DATABASE {database} CASCADE")
+    return found
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -174,6 +201,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "codegen_round_trip": _codegen_sql,
         "read_json_schema": _json_round_trip,
         "create_append_table": _create_append,
+        **scenarios.queries(),
     }
 
 
@@ -248,6 +276,7 @@ def oracle_sql() -> dict[str, str]:
         "codegen_round_trip": 'SELECT n_nationkey AS "nNationkey", n_name AS "nName", n_regionkey AS "nRegionkey" FROM nation',
         "read_json_schema": "SELECT n_nationkey AS nationKey, n_name AS name, n_regionkey AS regionKey FROM nation",
         "create_append_table": "SELECT n_nationkey, n_name, n_regionkey FROM nation",
+        **scenarios.oracle_sql(),
     }
 
 
