@@ -3,27 +3,29 @@
 Method: wherever a rolling hash of eight bytes triggers, a phrase of the text ends, so equal
 stretches of text are cut alike wherever they stand.  The phrases are the dictionary, the sequence
 of a text's phrases is its parse.  Whether a string of ``size`` bytes starts elsewhere too is a
-question to the corpus order of suffixes, but only to the depth of ``size`` bytes; so dictionary and
-parse are ordered by fingerprints of phrases and of phrase sequences instead of by their letters,
-which brings equal strings together just as well and needs grouped sums only:
+question to the corpus order of suffixes, but only to the depth of ``size`` bytes, and only whether
+neighbours are equal; so suffixes of dictionary and parse are brought together by 128-bit digests of
+their first bytes and phrases instead of being sorted by their letters (README: what sorting costs):
 
 1. Dictionary: phrases that occur once can't lie within a repeated string.
 2. Parse: the windows between two phrase ends share their enclosing and their inner phrase
    sequence.  If the inner phrases all repeat and the enclosing sequence occurs twice, all these
    windows are repeated, and no byte of them is looked at.
 3. Where only the inner sequence occurs again, as at the edges of a passage, and in the rare windows
-   without a whole phrase, the windows themselves are compared, by their fingerprints.
+   without a whole phrase, the windows themselves are compared, by digests of their bytes.
 
 Nothing depends on how far texts repeat; a highly repetitive corpus has a small dictionary.
-Fingerprints have 64 bits: with n of them compared, a wrong match has a probability of n * n / 2**65.
+Texts, phrase sequences and windows are known by 128 bits of digests that are no polynomials, so
+structured texts don't collide more than others: n of them have a wrong match with a probability of
+n * n / 2**129.  A phrase is known by 64 bits, but always in a sequence that holds its neighbours.
 
 Defined cases: a null text is empty; texts shorter than ``size`` stay as they are; documents with
 equal texts of at least ``size`` bytes lose all bytes; rows that repeat an id count as other
-documents; an empty table gives no rows; extra columns are ignored.
+documents, null ids too; an empty table gives no rows; extra columns are ignored.
 
 Scale: equal texts are parsed as one.  Dictionary and parse are counted with map-side combination,
-so a passage that all documents share is one row per task.  Texts are shuffled once, without those
-that have no repeated phrase sequence.
+so a passage that all documents share is one row per task.  Each table of a step is deleted when the
+next ones are written.
 """
 
 from __future__ import annotations
@@ -35,6 +37,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest, xxh3_128_digest
 
 from . import common
 
@@ -44,39 +47,25 @@ TRIGGER_BYTES = 8
 PHRASES = 8
 _U = np.uint64
 _MUL = _U(0x9E3779B97F4A7C15)
-_BASE = 0xD6E8FEB86659FD93
-_VALUES = np.random.default_rng(7).integers(0, 1 << 63, 256, dtype=np.uint64) * _U(2) + _U(1)
+_ODD = _U(0xD6E8FEB86659FD93)
 _IN_WORD = np.array([chr(c) not in " \t\n\r\v\f" for c in range(256)], np.int8)
-_powers: dict[str, np.ndarray] = {}
 
 
-def _power(name: str, n: int) -> np.ndarray:
-    """Powers 0 .. n of the base or of its inverse, modulo 2 ** 64."""
-    if name not in _powers or len(_powers[name]) <= n:
-        base = _BASE if name == "base" else pow(_BASE, -1, 1 << 64)
-        own = np.full(max(1 << 17, 1 << (n + 1).bit_length()), base, np.uint64)
-        own[0] = 1
-        _powers[name] = np.multiply.accumulate(own)
-    return _powers[name]
+def digests(raw: bytes, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """[strings, 2] 128-bit digests of stretches of ``raw``, as signed integers."""
+    own = b"".join([xxh3_128_digest(raw[a:b]) for a, b in zip(starts.tolist(), stops.tolist())])
+    return np.frombuffer(own, "<i8").reshape(-1, 2)
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> _U(32))) * _U(0xD6E8FEB86659FD93)
-    x = (x ^ (x >> _U(29))) * _MUL
-    return x ^ (x >> _U(32))
-
-
-def prefix_sums(raw: np.ndarray) -> np.ndarray:
-    """Sums of byte values times powers; differences give the fingerprint of any stretch."""
-    out = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(_VALUES[raw] * _power("base", len(raw))[: len(raw)], out=out[1:])
-    return out
-
-
-def prints(low: np.ndarray, high: np.ndarray, start: np.ndarray, length) -> np.ndarray:
-    """Fingerprints of stretches with the prefix sums ``low`` and ``high``."""
-    inverse = _power("inverse", int(start.max()) if len(start) else 0)
-    return _mix((high - low) * inverse[start] + np.asarray(length).astype(np.uint64) * _MUL)
+def distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place of the first of each digest, number of each row's digest, how often each occurs)."""
+    order = np.lexsort((h[:, 1], h[:, 0]))
+    edge = np.ones(len(h), bool)
+    edge[1:] = (h[order][1:] != h[order][:-1]).any(1)
+    which = np.empty(len(h), np.int64)
+    which[order] = np.cumsum(edge) - 1
+    first = np.minimum.reduceat(order, np.flatnonzero(edge)) if len(h) else order
+    return first, which, np.bincount(which)
 
 
 def phrase_ends(raw: bytes, size: int) -> np.ndarray:
@@ -86,26 +75,23 @@ def phrase_ends(raw: bytes, size: int) -> np.ndarray:
     words = np.ndarray(len(raw) - TRIGGER_BYTES + 1, "<u8", raw, strides=(1,))
     mixed = words * _MUL
     mixed ^= mixed >> _U(29)
-    mixed *= _U(_BASE)
+    mixed *= _ODD
     return np.flatnonzero(mixed < _U((1 << 64) * PHRASES // size)) + TRIGGER_BYTES
 
 
 def parse(raw: bytes, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """(bounds of the phrases from 0 to the length, prefix sums there)."""
-    bounds = np.unique(np.concatenate(([0], phrase_ends(raw, size), [len(raw)])))
-    return bounds.astype(np.int32), prefix_sums(np.frombuffer(raw, np.uint8))[bounds]
-
+    """(bounds of the phrases from 0 to the length, hashes of the phrases)."""
+    bounds = np.unique(np.concatenate(([0], phrase_ends(raw, size), [len(raw)]))).astype(np.int32)
+    at = bounds.tolist()
+    return bounds, np.array([xxh3_64_intdigest(raw[a:b]) for a, b in zip(at, at[1:])], np.uint64).view(np.int64)
 
-def phrase_prints(bounds: np.ndarray, sums: np.ndarray) -> np.ndarray:
-    return prints(sums[:-1], sums[1:], bounds[:-1], np.diff(bounds))
 
-
-def window_groups(bounds: np.ndarray, sums: np.ndarray, is_end: np.ndarray, repeated: np.ndarray, size: int) -> tuple[np.ndarray, ...]:
-    """Groups of windows [x0, x1) that may be repeated: x0, x1, where the enclosing sequence begins, outer and inner fingerprints.
+def window_groups(bounds: np.ndarray, phrases: np.ndarray, is_end: np.ndarray, repeated: np.ndarray, size: int) -> tuple[np.ndarray, ...]:
+    """Groups of windows [x0, x1) that may be repeated: x0, x1, where the enclosing sequence begins, its digest (two), the inner one's hash.
 
     ``is_end``: which bounds are phrase ends by a trigger; ``repeated``: which phrases repeat.
     Only ends whose trigger lies within a window cut its copies alike, so the inner phrases are
-    those between the first and the last of these.  Without inner phrases the fingerprint is 0.
+    those between the first and the last of these.  Without inner phrases the hash is 0.
     """
     n = int(bounds[-1])
     places = np.flatnonzero(is_end)
@@ -121,20 +107,19 @@ def window_groups(bounds: np.ndarray, sums: np.ndarray, is_end: np.ndarray, repe
     single = np.concatenate(([0], np.cumsum(~repeated)))
     keep = ~inner | (single[b] == single[a])
     x0, x1, a, b, inner = x0[keep], x1[keep], a[keep], b[keep], inner[keep]
-    within = np.where(inner, prints(sums[a], sums[b], bounds[a], bounds[b] - bounds[a]), _U(0))
+    raw = phrases.tobytes()
+    within = np.array([xxh3_64_intdigest(raw[8 * i : 8 * j]) if some else 0 for i, j, some in zip(a.tolist(), b.tolist(), inner.tolist())], np.uint64).view(np.int64)
     o0 = np.searchsorted(bounds, x0, "right") - 1
     o1 = np.searchsorted(bounds, x1 - 1 + size, "left")
-    return x0, x1, bounds[o0], prints(sums[o0], sums[o1], bounds[o0], bounds[o1] - bounds[o0]), within
+    outer = digests(raw, 8 * o0, 8 * o1)
+    return x0, x1, bounds[o0], outer[:, 0], outer[:, 1], within
 
 
 def read_windows(raw: bytes, x0: np.ndarray, x1: np.ndarray, sure: np.ndarray, read: np.ndarray, size: int) -> tuple[np.ndarray, ...]:
-    """(start, fingerprint, sure) of each window of the groups to read."""
+    """(start, digest, sure) of each window of the groups to read."""
     x0, n, sure = x0[read], (x1 - x0)[read], sure[read]
     x = np.repeat(x0 - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-    if not len(x):
-        return x, np.zeros(0, np.uint64), np.zeros(0, bool)
-    sums = prefix_sums(np.frombuffer(raw, np.uint8))
-    return x, prints(sums[x], sums[x + size], x, np.full(len(x), size)), np.repeat(sure, n)
+    return x, digests(raw, x, x + size), np.repeat(sure, n)
 
 
 def covered(n: int, starts: np.ndarray, stops: np.ndarray) -> list[tuple[int, int]]:
@@ -158,115 +143,106 @@ def _numpy(column: pa.Array, k: int) -> np.ndarray:
 
 
 def parses(texts: DataFrame, size: int) -> DataFrame:
-    """One row per text of at least ``size`` bytes: key, rep (smallest id), copies, bounds, sums, ends (which bounds are triggered)."""
-    schema = "key long, doc_id long, bounds array<int>, sums array<long>, open boolean"
+    """One row per text of at least ``size`` bytes: key, rep (smallest id), copies, bounds, phrases (hashes), open (no trigger at the end)."""
+    schema = "key binary, doc_id long, bounds array<int>, phrases array<long>, open boolean"
 
     def one(batch: pa.RecordBatch, out: pa.Schema) -> pa.RecordBatch:
-        bounds, sums, opens = [], [], []
+        bounds, phrases, opens = [], [], []
         for text in batch["text"].to_pylist():
             raw = text.encode()
-            b, s = parse(raw, size)
+            b, h = parse(raw, size)
             bounds.append(b)
-            sums.append(s.view(np.int64))
-            ends = phrase_ends(raw[-TRIGGER_BYTES:], size)
-            opens.append(not len(ends))  # the text's end isn't triggered
-        return pa.RecordBatch.from_arrays([batch["key"], batch["doc_id"], *(pa.array(v, f.type) for v, f in zip((bounds, sums, opens), list(out)[2:]))], schema=out)
+            phrases.append(h)
+            opens.append(not len(phrase_ends(raw[-TRIGGER_BYTES:], size)))
+        return pa.RecordBatch.from_arrays([batch["key"], batch["doc_id"], *(pa.array(v, f.type) for v, f in zip((bounds, phrases, opens), list(out)[2:]))], schema=out)
 
-    own = texts.where(F.octet_length("text") >= size).select("key", "doc_id", "text").mapInArrow(_rows(one, common.pa_schema(schema)), schema)
-    whole = F.struct("bounds", "sums", "open")
+    own = common.small_batches(texts).where(F.octet_length("text") >= size).select("key", "doc_id", "text").mapInArrow(_rows(one, common.pa_schema(schema)), schema)
+    whole = F.struct("bounds", "phrases", "open")
     return own.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first(whole).alias("p")).select("key", "rep", "copies", "p.*")
 
 
 def word_windows(raw: bytes, words: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, length, fingerprint) of the strings of so many whole words that have less than ``size`` bytes."""
-    flat = np.frombuffer(raw, np.uint8)
-    inside = np.concatenate(([0], _IN_WORD[flat], [0]))
+    """(start, length, digest) of the strings of so many whole words that have less than ``size`` bytes."""
+    inside = np.concatenate(([0], _IN_WORD[np.frombuffer(raw, np.uint8)], [0]))
     edges = np.flatnonzero(np.diff(inside))
     x, stop = edges[::2][: max(0, len(edges) // 2 - words + 1)], edges[1::2][words - 1 :]
     short = stop - x < size
     x, stop = x[short], stop[short]
-    if not len(x):
-        return x, x, np.zeros(0, np.uint64)
-    sums = prefix_sums(flat)
-    return x, stop - x, prints(sums[x], sums[stop], x, stop - x)
+    return x, stop - x, digests(raw, x, stop)
 
 
 def _passages(texts: DataFrame, size: int, words: int) -> DataFrame:
     """key, rep_, copies_ and the places (px, pn) of strings of ``words`` words and less than ``size`` bytes that occur twice."""
-    schema = "key long, doc_id long, first boolean, px int, pn int, h long"
+    schema = "key binary, doc_id long, first boolean, px int, pn int, h long, h2 long"
 
     def run(batch: pa.RecordBatch, out: pa.Schema) -> pa.RecordBatch:
         cols: list[list] = [[] for _ in out]
         for key, i, text in zip(*(batch[c].to_pylist() for c in ("key", "doc_id", "text"))):
             x, n, h = word_windows(text.encode(), words, size)
-            for c, v in zip(cols, ([key] * len(x), [i] * len(x), [k == 0 for k in range(len(x))], x.tolist(), n.tolist(), h.view(np.int64).tolist())):
+            for c, v in zip(cols, ([key] * len(x), [i] * len(x), [k == 0 for k in range(len(x))], x.tolist(), n.tolist(), h[:, 0].tolist(), h[:, 1].tolist())):
                 c.extend(v)
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, out)], schema=out)
 
     rows = common.durable(texts.select("key", "doc_id", "text").mapInArrow(_rows(run, common.pa_schema(schema)), schema), "passages")
-    again = rows.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h")
+    again = rows.groupBy("h", "h2").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h", "h2")
     # if a text stands several times, all of its strings repeat, so the first one, too
-    each = rows.join(again, "h").groupBy("key", "px", "pn").agg(F.min("doc_id").alias("rep_"), F.sum(F.col("first").cast("int")).alias("c"))
+    each = rows.join(again, ["h", "h2"]).groupBy("key", "px", "pn").agg(F.min("doc_id").alias("rep_"), F.sum(F.col("first").cast("int")).alias("c"))
     each = each.groupBy("key").agg(F.min("rep_").alias("rep_"), F.greatest(F.lit(1), F.max("c")).alias("copies_"), F.collect_list(F.struct("px", "pn")).alias("p"))
-    return common.durable(each.select("key", "rep_", "copies_", F.col("p.px").alias("px"), F.col("p.pn").alias("pn")), "passages")
+    found = common.durable(each.select("key", "rep_", "copies_", F.col("p.px").alias("px"), F.col("p.pn").alias("pn")), "passages")
+    common.drop(rows)
+    return found
 
 
-def repeats(docs: DataFrame, size: int = SIZE, with_text: bool = False, words: int = 0) -> DataFrame:
-    """key (hash of the text), start and stop of the maximal repeated runs, sha (of the rest) and, with ``with_text``,
+def repeats(docs: DataFrame, size: int = SIZE, words: int = 0) -> DataFrame:
+    """A durable table with key (digest of the text), start and stop of the maximal repeated runs, sha (of the rest) and
     the rest itself, for texts that have any; texts of several documents have ``whole`` set instead.
     With ``words``, strings of so many whole words that repeat are removed as well if they are shorter than ``size``."""
-    texts = docs.select(F.xxhash64("text").alias("key"), "doc_id", "text")
+    texts = docs.select(F.unhex(F.md5("text")).alias("key"), "doc_id", "text")
     parsed = common.durable(parses(texts, size), "parse")
+    heads = common.durable(parsed.select("key", "rep", "copies"), "heads")
 
     # 1. dictionary
-    schema = "key long, h array<long>"
-
-    def phrases(batch: pa.RecordBatch, out: pa.Schema) -> pa.RecordBatch:
-        h = [phrase_prints(_numpy(batch["bounds"], k), _numpy(batch["sums"], k).view(np.uint64)).view(np.int64) for k in range(batch.num_rows)]
-        return pa.RecordBatch.from_arrays([batch["key"], pa.array(h, pa.list_(pa.int64()))], schema=out)
-
-    each = parsed.select("key", "bounds", "sums").mapInArrow(_rows(phrases, common.pa_schema(schema)), schema).select("key", F.posexplode("h").alias("i", "h"))
+    each = parsed.select("key", F.posexplode("phrases").alias("i", "h"))
     known = each.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
-    marked = each.join(known, "h").groupBy("key").agg(F.collect_list("i").alias("repeated"))
-    marked = common.durable(marked, "dictionary")
+    marked = common.durable(each.join(known, "h").groupBy("key").agg(F.collect_list("i").alias("repeated")), "dictionary")
 
     # 2. parse
-    schema = "key long, x0 int, x1 int, at int, outer long, inner long"
+    schema = "key binary, x0 array<int>, x1 array<int>, at array<int>, outer array<long>, outer2 array<long>, inner array<long>"
 
     def groups(batch: pa.RecordBatch, out: pa.Schema) -> pa.RecordBatch:
-        cols: list[list] = [[] for _ in out]
-        for k, (key, open_) in enumerate(zip(batch["key"].to_pylist(), batch["open"].to_pylist())):
-            bounds, sums = _numpy(batch["bounds"], k), _numpy(batch["sums"], k).view(np.uint64)
+        cols: list[list] = [[] for _ in list(out)[1:]]
+        for k, open_ in enumerate(batch["open"].to_pylist()):
+            bounds, phrases = _numpy(batch["bounds"], k), _numpy(batch["phrases"], k)
             is_end = np.ones(len(bounds), bool)
             is_end[0], is_end[-1] = False, not open_
-            repeated = np.zeros(len(bounds) - 1, bool)
+            repeated = np.zeros(len(phrases), bool)
             if batch["repeated"][k].is_valid:
                 repeated[_numpy(batch["repeated"], k)] = True
-            got = window_groups(bounds, sums, is_end, repeated, size)
-            for c, v in zip(cols, (np.full(len(got[0]), key, np.int64), *got)):
+            for c, v in zip(cols, window_groups(bounds, phrases, is_end, repeated, size)):
                 c.append(v)
-        flat = [np.concatenate(c) if c else np.zeros(0, np.int64) for c in cols]
-        arrays = [flat[0], *(a.astype(np.int32) for a in flat[1:4]), *(a.astype(np.uint64).view(np.int64) for a in flat[4:])]
-        return pa.RecordBatch.from_arrays([pa.array(a, f.type) for a, f in zip(arrays, out)], schema=out)
+        return pa.RecordBatch.from_arrays([batch["key"], *(pa.array(c, f.type) for c, f in zip(cols, list(out)[1:]))], schema=out)
 
-    found = parsed.join(marked, "key", "left").select("key", "bounds", "sums", "open", "repeated").mapInArrow(_rows(groups, common.pa_schema(schema)), schema)
+    found = parsed.join(marked, "key", "left").select("key", "bounds", "phrases", "open", "repeated").mapInArrow(_rows(groups, common.pa_schema(schema)), schema)
+    found = found.select("key", F.explode(F.arrays_zip(*(x.split()[0] for x in schema.split(", ")[1:]))).alias("g")).select("key", "g.*")
     found = common.durable(found, "groups")
+    common.drop(parsed, marked)
     place = F.struct("key", "at")  # neighbouring groups may share an enclosing sequence, which then is one occurrence
-    outer = found.groupBy("outer").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("outer", "first")
-    placed = found.join(outer, "outer", "left").withColumn("sure", F.col("first").isNotNull())
-    placed = placed.withColumn("leads", F.coalesce(F.col("first") == place, F.lit(False))).drop("outer", "first", "at")
+    outer = found.groupBy("outer", "outer2").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("outer", "outer2", "first")
+    placed = found.join(outer, ["outer", "outer2"], "left").withColumn("sure", F.col("first").isNotNull())
+    placed = placed.withColumn("leads", F.coalesce(F.col("first") == place, F.lit(False))).drop("outer", "outer2", "first", "at")
     placed = common.durable(placed, "placed")
+    common.drop(found)
     # windows without inner phrases may repeat within one group
     inner = placed.groupBy("inner").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("x1") - F.col("x0")).alias("w"), F.max(~F.col("sure")).alias("unsure"))
     inner = inner.where("(n > 1 OR inner = 0 AND w > 1) AND unsure").select(F.col("inner").alias("inner_"))
-    placed = placed.join(inner, F.col("inner") == F.col("inner_"), "left").withColumn("again", F.col("inner_").isNotNull())
+    both = placed.join(inner, F.col("inner") == F.col("inner_"), "left").withColumn("again", F.col("inner_").isNotNull())
     # sure groups are read once per outer sequence, to hold unsure ones against them
     groups_ = F.struct("x0", "x1", "sure", (F.col("again") & (~F.col("sure") | F.col("leads"))).alias("read"))
-    per_text = placed.where(F.col("sure") | F.col("again")).groupBy("key").agg(F.collect_list(groups_).alias("g"))
+    per_text = both.where(F.col("sure") | F.col("again")).groupBy("key").agg(F.collect_list(groups_).alias("g"))
     per_text = per_text.select("key", *(F.col(f"g.{c}").alias(c) for c in ("x0", "x1", "sure", "read")))
-    marks = per_text.join(parsed.select("key", "rep", "copies"), "key")
-    if words:
-        passages = _passages(texts, size, words)
+    marks = per_text.join(heads, "key")
+    passages = _passages(texts, size, words) if words else None
+    if passages is not None:
         marks = marks.join(passages, "key", "full")
         kinds = {"x0": "int", "x1": "int", "sure": "boolean", "read": "boolean", "px": "int", "pn": "int"}
         lists = [F.coalesce(c, F.array().cast(f"array<{kind}>")).alias(c) for c, kind in kinds.items()]
@@ -274,28 +250,31 @@ def repeats(docs: DataFrame, size: int = SIZE, with_text: bool = False, words: i
     else:
         marks = marks.select("*", *(F.array().cast("array<int>").alias(c) for c in ("px", "pn")))
     marks = common.durable(marks.select(F.col("key").alias("k"), *marks.columns[1:]), "marks")
+    common.drop(placed)
+    # of a text that stands several times nothing is left anyway, but its windows count for other texts
     some = texts.join(marks, (F.col("key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("rep"))).drop("k", "rep", "doc_id")
     some = common.durable(some, "texts")
+    common.drop(marks)
 
     # 3. windows
-    schema = "key long, x array<int>, h array<long>, sure array<boolean>, n array<int>"
+    schema = "key binary, x array<int>, h array<long>, h2 array<long>, sure array<boolean>, n array<int>"
 
     def windows(batch: pa.RecordBatch, out: pa.Schema) -> pa.RecordBatch:
-        columns: list[list] = [[] for _ in range(4)]
+        columns: list[list] = [[] for _ in range(5)]
         for k, text in enumerate(batch["text"].to_pylist()):
             x, h, sure = read_windows(text.encode(), *(_numpy(batch[c], k) for c in ("x0", "x1", "sure", "read")), size)
-            h, first, n = np.unique(h, return_index=True, return_counts=True)
+            first, _, n = distinct(h)
             # what repeats within the text is found there; here it only stands for others
-            for c, v in zip(columns, (x[first].astype(np.int32), h.view(np.int64), sure[first] | (n > 1), np.minimum(n, 2).astype(np.int32))):
+            for c, v in zip(columns, (x[first].astype(np.int32), h[first, 0], h[first, 1], sure[first] | (n > 1), np.minimum(n, 2).astype(np.int32))):
                 c.append(v)
         return pa.RecordBatch.from_arrays([batch["key"], *(pa.array(c, f.type) for c, f in zip(columns, list(out)[1:]))], schema=out)
 
     read = some.where(F.exists("read", lambda r: r)).select("key", "text", "x0", "x1", "sure", "read").mapInArrow(_rows(windows, common.pa_schema(schema), 64), schema)
-    read = read.select("key", F.explode(F.arrays_zip("x", "h", "sure", "n")).alias("w")).select("key", "w.*")
-    again = read.groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h")
-    hits = common.durable(read.where("NOT sure").join(again, "h").groupBy("key").agg(F.collect_list("x").alias("hits")), "hits")
+    read = read.select("key", F.explode(F.arrays_zip("x", "h", "h2", "sure", "n")).alias("w")).select("key", "w.*")
+    again = read.groupBy("h", "h2").agg(F.sum("n").alias("n")).where("n > 1").select("h", "h2")
+    hits = common.durable(read.where("NOT sure").join(again, ["h", "h2"]).groupBy("key").agg(F.collect_list("x").alias("hits")), "hits")
 
-    schema = "key long, start array<int>, stop array<int>, sha string" + ", rest string" * with_text
+    schema = "key binary, start array<int>, stop array<int>, sha string, rest string"
 
     def runs(batch: pa.RecordBatch, out: pa.Schema) -> pa.RecordBatch:
         starts, stops, shas, rests = [], [], [], []
@@ -303,7 +282,7 @@ def repeats(docs: DataFrame, size: int = SIZE, with_text: bool = False, words: i
             raw = text.encode()
             x0, x1, sure, read = (_numpy(batch[c], k) for c in ("x0", "x1", "sure", "read"))
             x, h, known = read_windows(raw, x0, x1, sure, read, size)
-            _, which, n = np.unique(h, return_inverse=True, return_counts=True)
+            _, which, n = distinct(h)
             twice = x[(n[which] > 1) & ~known] if len(x) else x
             hit = _numpy(batch["hits"], k) if batch["hits"][k].is_valid else np.zeros(0, np.int32)
             px, pn = _numpy(batch["px"], k), _numpy(batch["pn"], k)
@@ -316,37 +295,46 @@ def repeats(docs: DataFrame, size: int = SIZE, with_text: bool = False, words: i
         return pa.RecordBatch.from_arrays([batch["key"], *(pa.array(v, f.type) for v, f in zip((starts, stops, shas, rests), list(out)[1:]))], schema=out)
 
     single = some.where("copies = 1").join(hits, "key", "left").select("key", "text", "x0", "x1", "sure", "read", "hits", "px", "pn").mapInArrow(_rows(runs, common.pa_schema(schema)), schema)
-    columns = [("start", "array<int>"), ("stop", "array<int>"), ("sha", "string"), *([("rest", "string")] if with_text else [])]
-    several = parsed.where("copies > 1").select("key")
-    if words:
+    columns = [("start", "array<int>"), ("stop", "array<int>"), ("sha", "string"), ("rest", "string")]
+    several = heads.where("copies > 1").select("key")
+    if passages is not None:
         several = several.union(passages.where("copies_ > 1").select("key")).distinct()
     whole = several.select("key", F.lit(True).alias("whole"), *(F.lit(None).cast(t).alias(c) for c, t in columns))
-    return single.where(F.size("start") > 0).select("key", F.lit(False).alias("whole"), *(c for c, _ in columns)).union(whole)
+    out = common.durable(single.where(F.size("start") > 0).select("key", F.lit(False).alias("whole"), *(c for c, _ in columns)).union(whole), "repeats")
+    common.drop(some, hits, heads, *([passages] if passages is not None else []))
+    return out
 
 
 def remove_repeats(docs: DataFrame, size: int = SIZE) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and text, which is what is left (without parts of cut characters)."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    found = common.durable(repeats(own, size), "repeats")
+    found = repeats(own, size)
     removed = F.aggregate(F.zip_with("start", "stop", lambda a, b: b - a), F.lit(0).cast("long"), lambda x, y: x + y)
-    narrow = found.select(F.col("key").alias("k"), "whole", F.size("start").alias("spans"), removed.alias("removed"), "sha")
-    rows = own.select("doc_id", F.xxhash64("text").alias("key"), F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("all"))
+    narrow = found.select(F.col("key").alias("k"), "whole", F.size("start").alias("spans"), removed.alias("removed"), "sha", "rest")
+    rows = own.select("doc_id", "text", F.unhex(F.md5("text")).alias("key"), F.octet_length("text").cast("long").alias("n_bytes"))
     joined = rows.join(narrow, F.col("key") == F.col("k"), "left")
     return joined.select(
         "doc_id", "n_bytes",
         F.when(F.col("whole"), F.col("n_bytes")).otherwise(F.coalesce("removed", F.lit(0))).cast("long").alias("n_removed"),
         F.when(F.col("whole"), F.lit(1)).otherwise(F.coalesce("spans", F.lit(0))).cast("long").alias("n_spans"),
-        F.when(F.col("whole"), F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.coalesce("sha", "all")).alias("kept_sha256"),
+        F.when(F.col("whole"), F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.coalesce("sha", F.sha2("text", 256))).alias("kept_sha256"),
+        F.when(F.col("whole"), F.lit("")).otherwise(F.coalesce("rest", "text")).alias("text"),
     )
 
 
 def cleaned(docs: DataFrame, size: int = SIZE, words: int = 0) -> DataFrame:
     """``docs`` with the repeated strings removed from ``text`` (parts of cut characters go, too) and ``n_chars``, if
     there is one, counted anew; documents of which nothing is left are dropped."""
+    names = docs.columns
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    found = common.durable(repeats(own, size, with_text=True, words=words), "repeats").select(F.col("key").alias("__key"), F.when(F.col("whole"), F.lit("")).otherwise(F.col("rest")).alias("__rest"))
-    joined = docs.join(found, F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("__key"), "left")
-    hit = F.col("__key").isNotNull()
-    text = F.when(hit, F.col("__rest")).otherwise(F.col("text"))
-    new = {"text": text, "n_chars": F.when(hit, F.length("__rest").cast("long")).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None}
-    return joined.where(~hit | (F.length("__rest") > 0)).select(*(new[c].alias(c) if new.get(c) is not None else F.col(f"`{c}`") for c in docs.columns))
+    found = repeats(own, size, words=words).select(F.col("key").alias("k"), F.when(F.col("whole"), F.lit("")).otherwise(F.col("rest")).alias("rest"))
+    # columns by place, so that no name of the input is in the way
+    rows = docs.toDF(*(f"c{k}" for k in range(len(names))))
+    text = F.col(f"c{names.index('text')}")
+    joined = rows.join(found, F.unhex(F.md5(F.coalesce(text, F.lit("")))) == F.col("k"), "left")
+    hit = F.col("k").isNotNull()
+    new = {"text": F.when(hit, F.col("rest")).otherwise(text)}
+    if "n_chars" in names:
+        chars = f"c{names.index('n_chars')}"
+        new["n_chars"] = F.when(hit, F.length("rest")).otherwise(F.col(chars)).cast(docs.schema["n_chars"].dataType)
+    return joined.where(~hit | (F.length("rest") > 0)).select(*(new.get(c, F.col(f"c{k}")).alias(c) for k, c in enumerate(names)))

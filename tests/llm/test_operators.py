@@ -430,7 +430,10 @@ def _removed(rows, size):
 
 @pytest.mark.parametrize("size", [400, 120])
 def test_substrings(docs, rows, none, size):
-    assert _sorted(substrings.remove_repeats(docs, size)) == _removed([r[:2] for r in rows], size)
+    got = substrings.remove_repeats(docs, size)
+    assert _sorted(got.drop("text")) == _removed([r[:2] for r in rows], size)
+    for r in got.collect():
+        assert r.n_removed and not r.text.isascii() or hashlib.sha256(r.text.encode()).hexdigest() == r.kept_sha256
     if size == 400:
         assert substrings.remove_repeats(none, size).count() == 0
         clean = substrings.cleaned(docs, size)
@@ -439,7 +442,26 @@ def test_substrings(docs, rows, none, size):
 
 def test_substrings_of_a_single_periodic_text(spark):
     rows = [(1, "x" * 3000), (2, "short")]
-    assert _sorted(substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"))) == _removed(rows, 400)
+    assert _sorted(substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).drop("text")) == _removed(rows, 400)
+
+
+@pytest.mark.parametrize("size", [400, 120])
+def test_substrings_of_repetitive_texts(spark, size):
+    """Powers of a few words, Thue-Morse texts, long runs, and texts that differ by single letters."""
+    rng, rows = random.Random(6), []
+    turn = lambda t: t.translate(str.maketrans("ab", "ba"))
+    morse = "a"
+    for _ in range(11):
+        morse += turn(morse)
+    base = "".join(rng.choice("ACGT") for _ in range(1500))
+    texts = [morse, turn(morse), "a" * 700, "ab" * 500, base, base * 2, base[:399] + "x" + base[400:], "é" * 450, (base[:130] + " ") * 9]
+    for _ in range(12):
+        own = list(base)
+        for _ in range(rng.randint(1, 6)):
+            own[rng.randrange(len(own))] = rng.choice("ACGT")
+        texts.append("".join(own))
+    rows = [(k, t) for k, t in enumerate(texts)]
+    assert _sorted(substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), size).drop("text")) == _removed(rows, size)
 
 
 def test_pipeline_removes_passages_of_short_words(spark):
