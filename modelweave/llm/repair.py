@@ -46,7 +46,7 @@ MAGIC = b"MWRP0002"
 _HEAD = "<IIIII"
 #: A rule takes eight bytes and saves two at each place, so a pair that is rarer than LEAST is left alone.
 LEAST = 5
-#: Rules of a round: half of the symbols that are left, RULES_A_ROUND at least.
+#: Rules of a round: three quarters of the symbols that are left, RULES_A_ROUND at least.
 RULES_A_ROUND = 512
 #: Symbols take two bytes where the vocabulary leaves room for so many rules, else four.
 ROOM = 4096
@@ -74,7 +74,7 @@ def compress(ids: np.ndarray, first_symbol: int) -> tuple[np.ndarray, np.ndarray
     lengths = np.ones(most, np.uint32)
     made = first_symbol
     while len(symbols) > 1 and (left := most - made):
-        room = min(max(RULES_A_ROUND, left // 2), left)
+        room = min(max(RULES_A_ROUND, left * 3 // 4), left)
         code = symbols[:-1] << bits | symbols[1:]
         ends = np.flatnonzero(symbols == END_ID)
         ends = np.concatenate([ends[ends < len(code)], ends[ends > 0] - 1])  # pairs that hold an end id (some stand twice)

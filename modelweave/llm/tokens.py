@@ -27,7 +27,9 @@ WS = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 WORDS = f"[^{WS}]+"
 #: Chunks of a tokenizer that gives one leading blank to a word and keeps other white space.
 BLANK_WORDS = f" ?[^{WS}]+|[{WS}]+(?![^{WS}])|[{WS}]+"
-_PYTHON_ONLY_WS = re.compile("[\x1c-\x1f]")
+_PYTHON_ONLY_WS = "\x1c\x1d\x1e\x1f"
+#: What a text that is simply cut at blanks and line feeds has none of: other white space, and runs of it.
+_NOT_SIMPLE = ("  ", " \n", "\n ", "\n\n\n", *"\t\v\f\r\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000", *map(chr, range(0x2000, 0x200B)))
 #: Chunks whose normal form and classes of characters are the same in all versions of Unicode: ASCII, Latin-1 and
 #: Latin Extended-A without the letters whose lower case is longer than themselves.
 _PLAIN = re.compile(" ?[!-~\xa1-\xac\xae-\u012f\u0131-\u0148\u014a-\u017f]+").fullmatch
@@ -59,14 +61,12 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.words_only = pattern == WORDS
         self.find = re.compile(pattern).findall
-        self.known = _Known(self)
-        self.before: dict[str, bytes] = {}
+        self.known, self.spaced = _Memory(self, ""), _Memory(self, " ")
         self.most = cache // 2
         self.n_ids = max(self.tokenizer.get_vocab(with_added_tokens=True).values()) + 1
         with open(path, encoding="utf-8") as f:
             rules = json.load(f)
-        specials = [t["content"] for t in rules["added_tokens"]]
-        self.special = re.compile("|".join(map(re.escape, specials))).search if specials else lambda text: None
+        self.specials = [t["content"] for t in rules["added_tokens"]]
         self.lower, split = self._plain_rules(rules)
         self.split = regex.compile(split).findall if split else None
         self.merge = self.tokenizer.model.tokenize
@@ -93,7 +93,7 @@ class ChunkEncoder:
         return cls._own[path, pattern]
 
     def chunks(self, text: str) -> list[str]:
-        if self.words_only and not _PYTHON_ONLY_WS.search(text):
+        if self.words_only and not any(c in text for c in _PYTHON_ONLY_WS):
             return text.split()
         return self.find(text)
 
@@ -103,39 +103,50 @@ class ChunkEncoder:
         return _bytes(map(id_of, self.merge(letters)))
 
     def learn(self, chunk: str) -> bytes:
-        """The ids of a chunk that isn't known; from now on it is, if it is short."""
-        if (ids := self.before.get(chunk)) is None:
-            if self.split is None or not _PLAIN(chunk):
-                ids = _bytes(self.tokenizer.encode_batch_fast([chunk], add_special_tokens=False)[0].ids)
-            else:
-                plain = chunk.lower() if self.lower else chunk
-                if (plain if plain[0] != " " else plain[1:]).isalpha() or len(words := self.split(plain)) == 1:
-                    ids = self._word(plain) if plain == chunk else self.known[plain]
-                else:
-                    ids = b"".join([self.known[w] for w in words])
-        if len(chunk) <= 64:
-            self.known[chunk] = ids
-        return ids
+        """The ids of a chunk that isn't known."""
+        if self.split is None or not _PLAIN(chunk):
+            return _bytes(self.tokenizer.encode_batch_fast([chunk], add_special_tokens=False)[0].ids)
+        plain = chunk.lower() if self.lower else chunk
+        if (plain if plain[0] != " " else plain[1:]).isalpha() or len(words := self.split(plain)) == 1:
+            return self._word(plain) if plain == chunk else self.known[plain]
+        return b"".join([self.known[w] if w[0] != " " else self.spaced[w[1:]] for w in words])
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Null is an empty text."""
-        if len(self.known) > self.most:
-            self.before, self.known = self.known, _Known(self)
-        get = self.known.__getitem__
-        return [b"".join(map(get, self.chunks(t))) if not self.special(t) else self._whole(t) for t in (t or "" for t in texts)]
-
-    def _whole(self, text: str) -> bytes:
-        return _bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
-
-
-class _Known(dict):
-    """Chunks and their ids; what is missing is learnt."""
-
-    def __init__(self, encoder: ChunkEncoder):
-        self.encoder = encoder
-
-    def __missing__(self, chunk: str) -> bytes:
-        return self.encoder.learn(chunk)
+        if len(self.known) + len(self.spaced) > self.most:
+            self.known, self.spaced = _Memory(self, "", self.known), _Memory(self, " ", self.spaced)
+        return [self._encode(t) if t else b"" for t in texts]
+
+    def _encode(self, text: str) -> bytes:
+        if any(s in text for s in self.specials):
+            return _bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
+        known = self.known.__getitem__
+        if self.words_only or text.endswith("\n\n") or any(c in text for c in _NOT_SIMPLE):
+            return b"".join(map(known, self.chunks(text)))
+        # single blanks and line feeds only: each word but a line's first has the blank before it
+        spaced, feed, out = self.spaced.__getitem__, known("\n"), []
+        for line in text.split("\n"):
+            first, *rest = line.split(" ")
+            out.append((known(first) if first else b"") + b"".join(map(spaced, rest)))
+        return feed.join(out)
+
+
+class _Memory(dict):
+    """Ids of chunks, which all begin with ``prefix``, by what follows it; what is missing is learnt.
+
+    ``before``: the memory that this one follows; what is still used of it is taken over."""
+
+    def __init__(self, encoder: ChunkEncoder, prefix: str, before: _Memory | None = None):
+        self.encoder, self.prefix, self.before = encoder, prefix, before or {}
+        if before:
+            before.before = {}
+
+    def __missing__(self, rest: str) -> bytes:
+        if (ids := self.before.get(rest)) is None:
+            ids = self.encoder.learn(self.prefix + rest)
+        if len(rest) <= 64:
+            self[rest] = ids
+        return ids
 
 
 def _bytes(ids: Iterable[int]) -> bytes:
