@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -254,8 +255,8 @@ def _phrases(text, reference):
         for c in own:
             if own[at : at + size] + c in reference:
                 size += 1
-            else:
-                n, at, size = n + 1, at + size, 1
+            else:  # a letter that the reference lacks is the end of a phrase
+                n, at, size = (n + 1, at + size, 1) if c in reference else (n + 1, at + size + 1, 0)
     return n
 
 
@@ -271,6 +272,34 @@ def test_phrases_against_search():
         assert round(bits[0, 0] * len(text) / model.cost[0]) == _phrases(text, ref)
 
 
+def _bits(model, samples, text):
+    """Bits a symbol by each language, by search in its reference."""
+    own = "".join(map(chr, model.symbols(text)))
+    out = []
+    for name, cost in zip(model.languages, model.cost):
+        reference = "".join(map(chr, model.symbols(" ".join(dict.fromkeys(samples[name])))[: langid.SYMBOLS]))
+        out.append(_phrases(own, reference) * cost / max(1, len(own)))
+    return out
+
+
+def test_language_against_brute_force(spark):
+    rng = random.Random(9)
+    speech = {"xx": "abcd ", "yy": "cdef ", "zz": "abcd "}  # xx and zz are alike
+    text = lambda lang, n: "".join(rng.choice(speech[lang]) for _ in range(n))
+    rows = [(k, text(lang, rng.choice([1, 9, 300, 900])), lang if k % 5 else None) for k, lang in enumerate(["xx", "yy", "zz"] * 12)] + [(50, None, "xx"), (51, "12", "yy"), (52, "QQ é", None), (53, "abc", None), (53, "abc", None)]
+    df = spark.createDataFrame([(*r, "s") for r in rows], "doc_id long, text string, lang string, score string")
+    samples = langid.sample(df.where(~langid.held_out(F.col("doc_id"))))
+    model = langid.fit(samples)
+    want = []
+    for i, t, _ in rows:
+        bits = np.array(_bits(model, samples, t or ""))
+        known = any(c.isalpha() for c in t or "")
+        share = 1 / sum(2 ** (-langid.SHARPNESS * (bits - bits.min()))) if known else 0.0
+        want.append((i, model.languages[int(bits.argmin())] if known else "und", round(float(share), 9)))
+    assert sorted((r.doc_id, r.lang_pred, round(r.score, 9)) for r in langid.identify(df).collect()) == sorted(want)
+    assert len({w[1] for w in want}) >= 3
+
+
 def test_language(spark, docs, rows, none):
     got = langid.identify(docs).collect()
     assert len(got) == len(rows) and {r.lang_pred for r in got} == {"en", "und"}
@@ -305,6 +334,65 @@ def test_quality(spark, docs, none):
     assert quality.good(table, labels).columns == table.columns
 
 
+def _quality(spark, rows, labels, most, site=lambda r: (r.source, r.lang)):
+    """(evidence, host posterior, path posterior, quality) of each row, by plain sums."""
+    odds, bias, weights = quality.fit(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), most)
+    evidence = [1 / (1 + np.exp(-np.clip(bias + np.dot(weights, quality.features(r.text, odds)), -12, 12))) for r in rows]
+    mean = float(np.mean(evidence))
+
+    def strength(groups):  # of (n, sum, mean of the level above)
+        n, s, m = np.array(groups, float).T
+        if len(n) < 2:
+            return quality.MOST_STRENGTH
+        spread = (n * m * (1 - m)).sum() / n.sum()
+        share = ((n * (s / n - m) ** 2).sum() - (len(n) - 1) * spread) / ((n.sum() - (n * n).sum() / n.sum()) * spread)
+        return float(np.clip(1 / share - 1, quality.LEAST_STRENGTH, quality.MOST_STRENGTH)) if share > 0 else quality.MOST_STRENGTH
+
+    def sums(key):
+        out = defaultdict(lambda: [0, 0.0])
+        for r, e in zip(rows, evidence):
+            out[key(r)][0] += 1
+            out[key(r)][1] += e
+        return out
+
+    hosts, paths = sums(lambda r: site(r)[0]), sums(site)
+    k_host = strength([(n, s, mean) for n, s in hosts.values()])
+    host = {h: (k_host * mean + s) / (k_host + n) for h, (n, s) in hosts.items()}
+    k_path = strength([(n, s, host[h]) for (h, _), (n, s) in paths.items()])
+    logit = lambda p: np.log(min(max(p, 1e-6), 1 - 1e-6) / (1 - min(max(p, 1e-6), 1 - 1e-6)))
+    out = []
+    for r, e in zip(rows, evidence):
+        n, s = paths[site(r)]
+        prior = min(max((k_path * host[site(r)[0]] + s - e) / (k_path + n - 1), 0), 1)
+        out.append((e, host[site(r)[0]], prior, 1 / (1 + np.exp(-(logit(e) + logit(prior) - logit(mean))))))
+    return out
+
+
+def test_quality_against_brute_force(spark, docs):
+    rows = docs.collect()
+    labels = [(k, int(k % 3 == 0), 0) for k in range(30)]
+    want = Counter((r.doc_id, *(round(float(x), 6) for x in q)) for r, q in zip(rows, _quality(spark, rows, labels, 25)))
+    got = quality.score(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), fit_rows=25).collect()
+    assert Counter((r.doc_id, *(round(x, 6) for x in (r.evidence, r.host_posterior, r.path_posterior, r.quality))) for r in got) == want
+    assert len({r.host_posterior for r in got}) == 3 and len({r.quality for r in got}) > 20
+
+
+def test_odds_of_slots():
+    words, grams = quality.slots("The the cat")
+    assert len(words) == 2 and 6 <= len(grams) <= 8
+    counts = np.zeros((2, quality.SLOTS, 2))
+    counts[0, 5], counts[1, 7] = (0, 9), (9, 1)
+    odds = quality.log_odds(counts, 10, 10)
+    assert odds[0, 5] > 2 and odds[1, 7] < -1 and odds[0, 0] == 0
+
+
+def test_sites_of_urls(spark):
+    rows = [(1, "https://Ex.org/a/b?c"), (2, "http://ex.org/a/"), (3, "http://ex.org/x"), (4, None), (5, "no url")]
+    df = spark.createDataFrame(rows, "doc_id long, url string")
+    host, path = quality.site(df, None, None)
+    assert [tuple(r) for r in df.orderBy("doc_id").select(host, path).collect()] == [("ex.org", "a"), ("ex.org", "a"), ("ex.org", None), (None, None), (None, None)]
+
+
 def test_sparse_sites_shrink(spark):
     groups = spark.createDataFrame([("a", 90.0, 100, 0.5), ("b", 10.0, 100, 0.5)], "host string, s double, n long, mean double")
     even = spark.createDataFrame([("a", 50.0, 100, 0.5), ("b", 50.0, 100, 0.5)], "host string, s double, n long, mean double")
@@ -581,18 +669,85 @@ def test_nearest_with_a_large_vector(spark):
 # the rest
 
 
-def test_pipeline(spark, rows, tmp_path):
+def _marked(texts, size, words):
+    """Texts without the strings of ``size`` bytes, or of ``words`` words, that start twice."""
+    raws = [(t or "").encode() for t in texts]
+    places = [[(m.start(), m.end()) for m in re.finditer(rb"[^ \t\n\r\v\f]+", r)] for r in raws]
+    strings = [[(k, k + size) for k in range(len(r) - size + 1)] + [(p[k][0], p[k + words - 1][1]) for k in range(len(p) - words + 1) if p[k + words - 1][1] - p[k][0] < size] for r, p in zip(raws, places)]
+    seen = Counter(r[a:b] for r, own in zip(raws, strings) for a, b in own)
+    out = []
+    for r, own in zip(raws, strings):
+        mark = bytearray(len(r))
+        for a, b in own:
+            if seen[r[a:b]] > 1:
+                mark[a:b] = b"\1" * (b - a)
+        out.append((bytes(c for c, m in zip(r, mark) if not m).decode("utf-8", "ignore"), any(mark)))
+    return out
+
+
+def test_each_pipeline_stage_against_brute_force(spark, rows, tmp_path):
     import corpus_pipeline
 
-    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
-    spark.createDataFrame([(k, k % 2, 0) for k in range(20)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    table = [*rows, (None, "text of no id " * 9, "en", "s0", 1, "k", 1, "x", "y"), (90, "!! 12 ##", "en", "s0", 1, "k", 1, "x", "y")]
+    spark.createDataFrame(table, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    labels = [(k, k % 2, 0) for k in range(20)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     docs = common.table(spark, str(tmp_path), "documents")
+    library = Tokenizer.from_file(WORD)
     for name, stage in corpus_pipeline.STAGES:
-        out = stage(spark, docs, str(tmp_path))
-        docs = common.durable(out, "stage")
+        before = docs.collect()
+        docs = common.durable(stage(spark, docs, str(tmp_path)), "stage")
+        after = docs.collect()
         if stage is not corpus_pipeline.pack:
             assert docs.columns == SCHEMA.replace(" long", "").replace(" string", "").replace(" int", "").split(", "), name
-    assert docs.count() > 0
+        if stage is corpus_pipeline.language:
+            samples = langid.sample(spark.createDataFrame([r for r in before if zlib.crc32(str(r.doc_id).encode()) % 4 != 2], SCHEMA))
+            model = langid.fit(samples)
+            bits = [min(_bits(model, samples, r.text or "")) for r in before]
+            assert Counter(after) == Counter(r for r, n in zip(before, bits) if any(c.isalpha() for c in r.text or "") and n <= langid.MOST_BITS)
+            assert len(after) < len(before)
+        elif stage is corpus_pipeline.good:
+            want = _quality(spark, before, labels, 20_000)
+            assert Counter(after) == Counter(r for r, (*_, q) in zip(before, want) if q >= quality.THRESHOLD)
+        elif stage is corpus_pipeline.near_duplicates:
+            sets = [_shingles(r.text) for r in before]
+            links = [(a, b) for a in range(len(sets)) for b in range(a) if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+            low = _roots(range(len(sets)), links)
+            groups = defaultdict(list)
+            for k, r in enumerate(before):
+                groups[low[k]].append(r)
+            left = Counter(after)
+            assert len(after) == len(groups) and not left - Counter(before)
+            for own in groups.values():
+                ids = [r.doc_id for r in own if r.doc_id is not None]
+                assert sum(left[r] > 0 and r.doc_id == (min(ids) if ids else None) for r in set(own)) == 1
+        elif stage is corpus_pipeline.repeats:
+            cut = _marked([r.text for r in before], corpus_pipeline.REPEAT_BYTES, corpus_pipeline.REPEAT_WORDS)
+            want = Counter((r.doc_id, t if hit else r.text, len(t) if hit else r.n_chars) for r, (t, hit) in zip(before, cut) if t or not hit)
+            assert Counter((r.doc_id, r.text, r.n_chars) for r in after) == want and any(hit for _, hit in cut)
+        else:
+            want = Counter()
+            for r in before:
+                ids = library.encode(r.text or "", add_special_tokens=False).ids + [0]
+                for k, at in enumerate(range(0, len(ids), 2048)):
+                    want[r.doc_id, k, at, zlib.crc32(np.array(ids[at : at + 2048], "<u4").tobytes())] += 1
+            assert Counter((r.doc_id, r.piece, r.start, r.ids_crc32) for r in after) == want
+            full = Counter()
+            for r in after:
+                full[r.sequence_id] += r.length
+            assert max(full.values()) <= 2048
+    assert after
+
+
+def test_pipeline_of_nothing_and_of_clashing_names(spark, tmp_path):
+    import corpus_pipeline
+
+    for place, own in (("none", []), ("some", [(k, f"some text number {k} of a table with other names, {k * 7}", "en", "s", 9, "k", 1, "r") for k in range(8)])):
+        folder = f"{tmp_path}/{place}"
+        spark.createDataFrame(own, "doc_id long, text string, lang string, source string, n_chars int, k string, c0 int, rest string").write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame([(0, 1, 0), (1, 0, 0)][: len(own)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+        got = corpus_pipeline.run(spark, folder)
+        assert got.columns[:3] == ["doc_id", "piece", "start"] and (got.count() > 0) == bool(own)
 
 
 def test_registered():
