@@ -18,8 +18,9 @@ repeat an id count once, with the first of its vectors by order; with at most 20
 gets all; ties go to the smaller id; an empty table gives no rows; extra columns are ignored.
 
 Scale: a round shuffles K rows per vector, and per task of PART vectors each vector that it needs
-once; no task holds more than PART * 4 * SAMPLE vectors.  The divisions cut the space into blocks of
-about BLOCK vectors, and blocks that are larger are worked through in pieces.  How
+once; no task holds more than PART * 4 * SAMPLE vectors of PART_WIDTH components, or as many numbers in
+longer ones.  The divisions cut the space into blocks of about BLOCK vectors; blocks that are larger are
+worked through in pieces, and those of over LARGE * BLOCK vectors, which are counted, in several tasks.  How
 many vectors may have one vector as a neighbour isn't limited, but of those SAMPLE are gathered a
 round, before they are shuffled.  Rounds are written to the shared folder.
 """
@@ -39,7 +40,10 @@ from .vectors import usable
 K, SAMPLE, UPDATES = 48, 16, 4
 FORESTS, BLOCK, FIRST = 16, 1024, 8
 ITERATIONS, STEPS, EXPAND, BEAM = 4, 3, 16, 96
-PART = 4096
+#: Blocks that hold more than so many times BLOCK vectors are dealt over several tasks.
+LARGE = 16
+#: Vectors of a task's own and the length of vectors up to which that holds; longer vectors make smaller tasks.
+PART, PART_WIDTH = 4096, 64
 SEED = 404
 
 
@@ -79,13 +83,14 @@ def _first_graph(vectors: DataFrame, n: int, dim: int) -> DataFrame:
     schema = "p long, q long, s double"
     out = common.pa_schema(schema)
 
-    def divide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sides(batches: Iterator[pa.RecordBatch], whole: bool) -> Iterator[pa.RecordBatch]:
         weights = 1 << np.arange(bits, dtype=np.int64)
         for batch in common.slices(batches, 2048):
             v, _ = scaled(_vectors(batch["v"]))
             for f in range(FORESTS):
                 side = (v @ _planes(f, bits, dim) > 0) @ weights if bits else np.zeros(len(v), np.int64)
-                yield pa.RecordBatch.from_arrays([batch["id"], pa.array(np.full(len(v), f, np.int32)), pa.array(side.astype(np.int64)), batch["v"]], names=["id", "forest", "side", "v"])
+                block = [pa.array(np.full(len(v), f, np.int32)), pa.array(side.astype(np.int64))]
+                yield pa.RecordBatch.from_arrays([batch["id"], *block, batch["v"]] if whole else block, names=["id", "forest", "side", "v"] if whole else ["forest", "side"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -117,11 +122,14 @@ def _first_graph(vectors: DataFrame, n: int, dim: int) -> DataFrame:
         if held:
             yield flush()
 
-    divided = vectors.select("id", "v").mapInArrow(divide, f"id long, forest int, side long, v {vectors.schema['v'].dataType.simpleString()}")
+    own = vectors.select("id", "v")
+    # a block that holds more than one task should get is dealt over several
+    counted = own.mapInArrow(lambda x: sides(x, False), "forest int, side long").groupBy("forest", "side").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > LARGE * BLOCK)
+    large = common.durable(counted.select("forest", "side", F.ceil(F.col("n") / (LARGE * BLOCK)).alias("shares")), "large")
+    divided = own.mapInArrow(lambda x: sides(x, True), f"id long, forest int, side long, v {vectors.schema['v'].dataType.simpleString()}")
     mixed = F.xxhash64("id", "forest")
-    # a block that grows beyond what one task should get is dealt over several
-    share = F.pmod(mixed, F.lit(common.parts_for(n, 64 * PART)))
-    return divided.repartition("forest", "side", share).sortWithinPartitions("forest", "side", mixed).mapInArrow(meet, schema)
+    divided = common.join_checked(divided, large, ["forest", "side"], "left", large.count()).withColumn("share", F.pmod(mixed, F.coalesce("shares", F.lit(1)))).select("id", "forest", "side", "v", "share")
+    return divided.repartition("forest", "side", "share").sortWithinPartitions("forest", "side", mixed).mapInArrow(meet, schema)
 
 
 def _merge(graph: DataFrame, updates: DataFrame, parts: int, turn: int) -> DataFrame:
@@ -212,7 +220,7 @@ def _local_joins(graph: DataFrame, vectors: DataFrame, parts: int, turn: int) ->
 
 def neighbour_graph(vectors: DataFrame, n: int, dim: int) -> DataFrame:
     """(p, q, s): the K approximate neighbours of each of n distinct vectors (id, v); s is their product up to a factor of p's."""
-    parts = common.parts_for(n, PART)
+    parts = common.parts_for(n, max(64, PART * PART_WIDTH // max(PART_WIDTH, dim)))
     parts = max(parts, min(vectors.sparkSession.sparkContext.defaultParallelism * 2, common.parts_for(n, 256)))
     empty = vectors.sparkSession.createDataFrame([], "p long, q long, s double, fresh boolean")
     graph = _merge(empty, _first_graph(vectors, n, dim), parts, 0)

@@ -659,6 +659,27 @@ def test_nearest_of_thousands_of_copies(spark):
     assert _recall(spark, x, range(3000)) >= 0.97
 
 
+def test_nearest_in_large_blocks_and_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(nndescent, "BLOCK", 32)
+    monkeypatch.setattr(nndescent, "LARGE", 2)
+    monkeypatch.setattr(nndescent, "PART", 64)
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(30, 12))[rng.integers(0, 30, 1500)] + 0.3 * rng.normal(size=(1500, 12))
+    v[:700] = v[0] + 0.01 * rng.normal(size=(700, 12))  # blocks that are far larger than others
+    df = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)] + [(None, v[0].tolist()), (20, v[21].tolist())], "vec_id long, embedding array<double>")
+    got = defaultdict(set)
+    for r in nndescent.nearest(df).collect():
+        got[r.query_id].add(r.vec_id)
+    hits = 0
+    for q in range(0, 1500, 20):
+        own = min(v[20].tolist(), v[21].tolist()) if q == 20 else v[q]
+        s = v @ np.asarray(own)
+        s[20] = np.asarray(min(v[20].tolist(), v[21].tolist())) @ np.asarray(own)
+        s[q] = -np.inf
+        hits += len(got[q] & set(np.argsort(-s, kind="stable")[:20].tolist()))
+    assert hits >= 0.9 * 20 * 75 and None not in got
+
+
 def test_nearest_with_a_large_vector(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(1500, 16))
