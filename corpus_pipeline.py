@@ -3,6 +3,20 @@
 Each stage takes (spark, docs, sf_dir) and returns all documents that it keeps, with the columns of
 ``documents``; the last one returns packed pieces.  Between stages the documents are written and
 read again.
+
+Defined cases, by stage, each judged on its own input:
+
+* language ID: a document without letters (a null or empty text, too) goes, as does one that no
+  learned language explains with MOST_BITS bits a symbol; without any labelled row all go.
+* quality: rows are judged one by one, with their text and site; without labels of both kinds all stay.
+* near-dedup: of each group exactly one row stays, that with the smallest id (null last), of rows that
+  share it that with the smallest hash of its text, and of equal rows one; a document without words is
+  in no group and stays.  Rows that share an id are judged by their own texts.
+* repeats: every place of a passage that starts twice goes, the first one too; a document of which
+  nothing is left goes, an empty one stays; ``n_chars`` is counted anew.
+* packing: a null or empty text is a piece with the end id only; null and repeated ids are packed as rows.
+
+An empty table gives no rows at each stage.  Columns besides those used come along, whatever their names.
 """
 
 from __future__ import annotations
@@ -46,12 +60,15 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language ID", language), ("quality classifier", good), ("MinHash near-dedup", near_duplicates), ("suffix-array dedup", repeats), ("best-fit packing", pack)]
 
-#: No stage but the last few joins can be expressed in SQL; tests hold each stage against brute force.
+#: Cross-parsing, the classifier's fit and packing can't be expressed in SQL; tests/llm hold each stage against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.table(spark, sf_dir, "documents")
+    docs, before = common.table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         docs = common.durable(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if before is not None:
+            common.drop(before)
+        before = docs
     return docs
