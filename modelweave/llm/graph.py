@@ -25,7 +25,8 @@ def components(links: DataFrame) -> DataFrame:
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low)
-        edges = common.durable(small.distinct(), "links")
+        last, edges = edges, common.durable(small.distinct(), "links")
+        common.drop(last)
         before, state = state, _state(edges)
         if state == before:
             break

@@ -171,6 +171,7 @@ def links(reps: DataFrame, docs: DataFrame, percent: int = 85) -> DataFrame:
     star = members.where("id <> lead").select("id", "n", "lead").distinct().join(leads, "lead").where(sizes)
     found = common.durable(_confirmed(star.select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct(), sets, percent), "found")
     placed = _placed(members, found)
+    finished = [members, wanted, sets, found, placed]
 
     # members apart from their bucket's component: some others, chosen by hash
     others = [F.min(F.struct(F.xxhash64("id", F.lit(k)).alias("h"), "id", "n", "component")).alias(f"o{k}") for k in range(LEADERS)]
@@ -179,6 +180,7 @@ def links(reps: DataFrame, docs: DataFrame, percent: int = 85) -> DataFrame:
     probes = probes.where("component <> o.component").select(F.col("o.id").alias("a"), F.col("id").alias("b"), "n", F.col("o.n").alias("nb")).where(sizes)
     found = common.durable(found.union(_confirmed(probes.select("a", "b").distinct(), sets, percent)), "found")
     placed = _placed(members, found)
+    finished += [found, placed]
 
     # what is still apart: blocks
     parts = placed.where("size > 2").groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"))
@@ -198,7 +200,9 @@ def links(reps: DataFrame, docs: DataFrame, percent: int = 85) -> DataFrame:
     dealt = dealt.join(sets, "id")
     schema = "a long, b long"
     last = dealt.repartition("task").sortWithinPartitions("task", "id").mapInArrow(_compare_blocks(percent), schema)
-    return common.durable(found.union(last), "found")
+    found = common.durable(found.union(last), "found")
+    common.drop(*finished)
+    return found
 
 
 def _placed(members: DataFrame, found: DataFrame) -> DataFrame:
