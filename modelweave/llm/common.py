@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 #: A table is broadcast only if it was counted and has at most so many (narrow) rows.
 BROADCAST_ROWS = 50_000
 #: Rows sent to Python at once, and bytes of a row group of durable tables.
-BATCH, ROW_GROUP = 1024, 16 << 20
+BATCH, ROW_GROUP = 512, 16 << 20
 _BATCH, _CLEANUP = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _made: list[tuple[SparkSession, str]] = []
 

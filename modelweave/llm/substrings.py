@@ -31,6 +31,7 @@ next ones are written.
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,6 +46,8 @@ SIZE = 400
 TRIGGER_BYTES = 8
 #: Mean phrases in a string of the length sought.
 PHRASES = 8
+#: Most digests that a task counts before it passes the counts on.
+HELD = 1 << 18
 _U = np.uint64
 _MUL = _U(0x9E3779B97F4A7C15)
 _ODD = _U(0xD6E8FEB86659FD93)
@@ -172,24 +175,67 @@ def word_windows(raw: bytes, words: int, size: int) -> tuple[np.ndarray, np.ndar
 
 
 def _passages(texts: DataFrame, size: int, words: int) -> DataFrame:
-    """key, rep_, copies_ and the places (px, pn) of strings of ``words`` words and less than ``size`` bytes that occur twice."""
-    schema = "key binary, doc_id long, first boolean, px int, pn int, h long, h2 long"
+    """key, rep_, copies_ and the places (px, pn) of strings of ``words`` words and less than ``size`` bytes that occur twice.
 
-    def run(batch: pa.RecordBatch, out: pa.Schema) -> pa.RecordBatch:
-        cols: list[list] = [[] for _ in out]
+    Strings are counted in each task before they are shuffled, and found again in the texts: by a
+    broadcast if those that repeat were counted as few, else by a join."""
+    spark, rows = texts.sparkSession, texts.select("key", "doc_id", "text")
+
+    def strings(batch: pa.RecordBatch) -> Iterator[tuple]:
         for key, i, text in zip(*(batch[c].to_pylist() for c in ("key", "doc_id", "text"))):
-            x, n, h = word_windows(text.encode(), words, size)
-            for c, v in zip(cols, ([key] * len(x), [i] * len(x), [k == 0 for k in range(len(x))], x.tolist(), n.tolist(), h[:, 0].tolist(), h[:, 1].tolist())):
-                c.extend(v)
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, out)], schema=out)
-
-    rows = common.durable(texts.select("key", "doc_id", "text").mapInArrow(_rows(run, common.pa_schema(schema)), schema), "passages")
-    again = rows.groupBy("h", "h2").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h", "h2")
-    # if a text stands several times, all of its strings repeat, so the first one, too
-    each = rows.join(again, ["h", "h2"]).groupBy("key", "px", "pn").agg(F.min("doc_id").alias("rep_"), F.sum(F.col("first").cast("int")).alias("c"))
-    each = each.groupBy("key").agg(F.min("rep_").alias("rep_"), F.greatest(F.lit(1), F.max("c")).alias("copies_"), F.collect_list(F.struct("px", "pn")).alias("p"))
-    found = common.durable(each.select("key", "rep_", "copies_", F.col("p.px").alias("px"), F.col("p.pn").alias("pn")), "passages")
-    common.drop(rows)
+            yield key, i, *word_windows(text.encode(), words, size)
+
+    schema = "h long, h2 long, n long"
+    counted = common.pa_schema(schema)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: Counter[bytes] = Counter()
+
+        def flush() -> pa.RecordBatch:
+            h = np.frombuffer(b"".join(held), "<i8").reshape(-1, 2)
+            return pa.RecordBatch.from_arrays([pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array(list(held.values()), pa.int64())], schema=counted)
+
+        for batch in common.slices(batches, 256):
+            for _, _, _, _, h in strings(batch):
+                raw = h.tobytes()
+                held.update(raw[k : k + 16] for k in range(0, len(raw), 16))
+            if len(held) > HELD:
+                yield flush()
+                held.clear()
+        if held:
+            yield flush()
+
+    again = rows.mapInArrow(count, schema).groupBy("h", "h2").agg(F.sum("n").alias("n")).where("n > 1").select("h", "h2")
+    again = common.durable(again, "again")
+    if again.count() <= common.BROADCAST_ROWS:
+        known = spark.sparkContext.broadcast({np.array([r["h"], r["h2"]], "<i8").tobytes() for r in again.collect()})
+        schema = "key binary, doc_id long, px array<int>, pn array<int>"
+
+        def find(batch: pa.RecordBatch, out: pa.Schema) -> pa.RecordBatch:
+            found = []
+            for key, i, x, n, h in strings(batch):
+                raw = h.tobytes()
+                if at := [k for k in range(len(x)) if raw[16 * k : 16 * k + 16] in known.value]:
+                    found.append((key, i, x[at].tolist(), n[at].tolist()))
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in found], f.type) for k, f in enumerate(out)], schema=out)
+
+        each = rows.mapInArrow(_rows(find, common.pa_schema(schema)), schema)
+        places = F.first(F.struct("px", "pn")).alias("p")  # equal texts have equal places
+        found = each.groupBy("key").agg(F.min("doc_id").alias("rep_"), F.count(F.lit(1)).alias("copies_"), places)
+    else:
+        schema = "key binary, doc_id long, px array<int>, pn array<int>, h array<long>, h2 array<long>"
+
+        def spell(batch: pa.RecordBatch, out: pa.Schema) -> pa.RecordBatch:
+            own = [(key, i, x.tolist(), n.tolist(), h[:, 0].tolist(), h[:, 1].tolist()) for key, i, x, n, h in strings(batch) if len(x)]
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in own], f.type) for k, f in enumerate(out)], schema=out)
+
+        whole = rows.mapInArrow(_rows(spell, common.pa_schema(schema)), schema).groupBy("key").agg(F.min("doc_id").alias("rep_"), F.count(F.lit(1)).alias("copies_"), F.first(F.struct("px", "pn", "h", "h2")).alias("w"))
+        whole = common.durable(whole, "strings")
+        each = whole.select("key", F.explode(F.arrays_zip("w.px", "w.pn", "w.h", "w.h2")).alias("w")).select("key", "w.*")
+        each = each.join(again, ["h", "h2"]).groupBy("key").agg(F.collect_list(F.struct("px", "pn")).alias("p"))
+        found = whole.select("key", "rep_", "copies_").join(each, "key").select("key", "rep_", "copies_", F.struct(F.col("p.px").alias("px"), F.col("p.pn").alias("pn")).alias("p"))
+    found = common.durable(found.select("key", "rep_", "copies_", "p.px", "p.pn"), "passages")
+    common.drop(again)
     return found
 
 

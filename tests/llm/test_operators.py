@@ -552,9 +552,13 @@ def test_substrings_of_repetitive_texts(spark, size):
     assert _sorted(substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), size).drop("text")) == _removed(rows, size)
 
 
-def test_pipeline_removes_passages_of_short_words(spark):
+@pytest.mark.parametrize("few", [50_000, 0])
+def test_pipeline_removes_passages_of_short_words(spark, monkeypatch, few):
     import corpus_pipeline
 
+    monkeypatch.setattr(common, "BROADCAST_ROWS", few)
+    monkeypatch.setattr(substrings, "HELD", 3)
+
     rng = random.Random(14)
     passage = " ".join(f"{rng.choice('abcde')}{rng.choice('xyz')}" for _ in range(51))
     under = " ".join(f"{rng.choice('fgh')}{rng.choice('xyz')}" for _ in range(50))
