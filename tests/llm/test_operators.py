@@ -552,6 +552,17 @@ def test_substrings_of_repetitive_texts(spark, size):
     assert _sorted(substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), size).drop("text")) == _removed(rows, size)
 
 
+def test_substrings_where_a_text_ends_with_a_phrase(spark):
+    """Of a text that ends where a phrase does, another goes on: the last window of both is one, in unlike groups."""
+    rng, rows = random.Random(8), []
+    for _ in range(60):
+        base = "".join(rng.choice("ACGT ") for _ in range(900))
+        ends = substrings.phrase_ends(base.encode(), 400)
+        stop = int(ends[ends >= 500][0]) if (ends >= 500).any() else 900
+        rows += [(len(rows), base[:stop]), (len(rows) + 1, base[:stop] + "".join(rng.choice("acgt ") for _ in range(300)))]
+    assert _sorted(substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).drop("text")) == _removed(rows, 400)
+
+
 @pytest.mark.parametrize("few", [50_000, 0])
 def test_pipeline_removes_passages_of_short_words(spark, monkeypatch, few):
     import corpus_pipeline
