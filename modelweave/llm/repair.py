@@ -201,7 +201,18 @@ class Shard:
         return expand(own[a:b], self.rules, self.first)[start - before : stop - before]
 
     def all_ids(self) -> list[np.ndarray]:
-        return np.split(expand(self.symbols(0, self.n_symbols), self.rules, self.first), np.cumsum(self.sizes[:-1], dtype=np.int64)) if len(self.sizes) else []
+        """The ids of each document; each rule is expanded once and then copied to its places."""
+        if not len(self.sizes):
+            return []
+        every = np.ones(self.first + len(self.lengths), np.int64)
+        every[self.first :] = self.lengths
+        grown = expand(np.arange(self.first, len(every), dtype=np.uint32), self.rules, self.first)
+        flat = np.concatenate([np.arange(self.first, dtype=np.uint32), grown])
+        own = self.symbols(0, self.n_symbols)
+        n = every[own]
+        at = np.repeat((np.cumsum(every) - every)[own] - (np.cumsum(n) - n), n)
+        at += np.arange(len(at))
+        return np.split(flat[at], np.cumsum(self.sizes[:-1], dtype=np.int64))
 
 
 @contextmanager

@@ -45,6 +45,9 @@ def _byte_letters() -> str:
 
 
 _LETTERS = _byte_letters()
+_BLANK = _LETTERS[0x20]
+#: Letters of ASCII and one of these after them are two words to a byte-level vocabulary.
+_MARKS = frozenset("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
 
 
 class ChunkEncoder:
@@ -99,11 +102,21 @@ class ChunkEncoder:
 
     def _word(self, word: str, id_of=attrgetter("id")) -> bytes:
         """The ids of one word, which no rule splits further."""
-        letters = word if word.isascii() and word[0] != " " else codecs.charmap_decode(word.encode(), "strict", _LETTERS)[0]
+        if word.isascii() and " " not in word[1:]:
+            letters = word if word[0] != " " else _BLANK + word[1:]
+        else:
+            letters = codecs.charmap_decode(word.encode(), "strict", _LETTERS)[0]
         return _bytes(map(id_of, self.merge(letters)))
 
     def learn(self, chunk: str) -> bytes:
         """The ids of a chunk that isn't known."""
+        if self.split and not self.lower and chunk.isascii():
+            # what most chunks are: a word, or one with a mark after it
+            word = chunk[1:] if chunk[0] == " " else chunk
+            if word.isalpha():
+                return self._word(chunk)
+            if word[-1:] in _MARKS and word[:-1].isalpha():
+                return (self.spaced[word[:-1]] if chunk[0] == " " else self.known[word[:-1]]) + self.known[word[-1]]
         if self.split is None or not _PLAIN(chunk):
             return _bytes(self.tokenizer.encode_batch_fast([chunk], add_special_tokens=False)[0].ids)
         plain = chunk.lower() if self.lower else chunk

@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+import regex
 import sentencepiece
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -174,6 +175,27 @@ def test_grammar_round_trip_and_random_access():
     assert [x.tolist() for x in shard.all_ids()] == [d.tolist() for d in docs]
 
 
+def test_a_word_with_a_mark_is_cut_without_the_pattern():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    encoder, library = ChunkEncoder(path, BLANK_WORDS), Tokenizer.from_file(path)
+    marks = [chr(c) for c in range(0x21, 0x7F) if not chr(c).isalnum()]
+    texts = [f"{a}{word}{mark}" for a in ("", "go ") for word in ("Hello", "zqxvk", "s", "don't", "été") for mark in marks]
+    assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    asked: list[str] = []
+    encoder.split = lambda chunk: asked.append(chunk) or regex.findall(r"\p{L}+|\P{L}+", chunk)
+    encoder.encode(["words, other things; and more.", "Simple texts: here!"])
+    assert not asked
+
+
+def test_all_documents_of_a_file_are_those_read_alone():
+    rng = np.random.default_rng(9)
+    phrase = rng.integers(1, 300, 40)
+    ids = [np.append(np.tile(phrase, k % 5), 0).astype("<u4").tobytes() for k in range(200)]
+    for own in (ids, ids[:1], []):
+        shard = repair.Shard(repair.pack_shard(list(range(len(own))), own, 50_257))
+        assert [x.astype("<u4").tobytes() for x in shard.all_ids()] == own == [shard.ids(k).astype("<u4").tobytes() for k in range(len(own))]
+
+
 def test_grammar_goes_on_while_pairs_repeat():
     rng = np.random.default_rng(1)
     doc = np.append(rng.integers(1, 50257, 500), 0).astype("<u4")
